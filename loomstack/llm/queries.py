@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstack.llm import conversations, pii, secrets
+from loomstack.llm import conversations, packing, pii, secrets, subjects, tokens
 from loomstack.runtime import table
 
 
@@ -36,7 +36,34 @@ def p6_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.turns(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p5_found, p5_redacted, p6_found, p6_turns)}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.ids(spark, sf_dir)
+
+
+def p8_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.frequencies(spark, sf_dir)
+
+
+def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_tables(spark, sf_dir)
+
+
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(spark, sf_dir)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.found(spark, sf_dir)
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each subject, found and labelled."""
+    found = subjects.found(spark, sf_dir).withColumn("by", F.lit("found"))
+    known = table(spark, sf_dir, "subject_labels", "doc_id", "subject").withColumn("by", F.lit("label"))
+    return found.unionByName(known).groupBy("subject", "by").agg(F.count_distinct("doc_id").alias("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p5_found, p5_redacted, p6_found, p6_turns, p8_ids, p8_frequencies, p9_packed, p9_fill, p10_found, p10_composition)}
 
 _WS = r"[\s\x1c-\x1f\x{85}\p{Z}]"
 _P6 = rf"""
