@@ -97,16 +97,20 @@ def plan_batch(lines: DataFrame, offsets: DataFrame) -> DataFrame:
     )
 
 
+def log_digests(lines: DataFrame) -> DataFrame:
+    """(logical_id, content_hash): SHA-256 of the complete lines of every log, streamed."""
+    complete = lines.where("terminated and logical_id is not null").select("logical_id", "record_ordinal", "line")
+    return complete.repartition("logical_id").sortWithinPartitions("logical_id", "record_ordinal").mapInArrow(_digests, "logical_id string, content_hash string")
+
+
 def next_offsets(lines: DataFrame, plan: DataFrame, offsets: DataFrame, batch_id: int) -> DataFrame:
     """Offsets after the planned rows are in the sink; logs without planned rows keep theirs."""
     moved = lines.where("terminated").join(plan.select("logical_id").distinct(), "logical_id", "left_semi").select(
-        "logical_id", "record_ordinal", "line", "terminated", F.lit(2**62).alias("cursor_offset"),
+        "logical_id", "record_ordinal", "line", "terminated",
         (F.col("byte_offset") + F.octet_length(F.coalesce("line", F.lit(""))) + 1).alias("end"),
     )
     ends = moved.groupBy("logical_id").agg(F.max("end").alias("cursor_offset"), F.max("record_ordinal").alias("cursor_ordinal"))
-    digests = (
-        moved.repartition("logical_id").sortWithinPartitions("logical_id", "record_ordinal").mapInArrow(_digests, "logical_id string, content_hash string")
-    )
+    digests = log_digests(moved)
     new = ends.join(digests, "logical_id").withColumn("id", F.lit(batch_id).cast("long"))
     kept = offsets.select("id", "logical_id", "cursor_offset", "cursor_ordinal", "content_hash").join(new.select("logical_id"), "logical_id", "left_anti")
     return kept.unionByName(new.select("id", "logical_id", "cursor_offset", "cursor_ordinal", "content_hash"))

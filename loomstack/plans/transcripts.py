@@ -255,14 +255,14 @@ def session_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 _UPSERT = "select id as seq, session_uid, {t} as title, cwd, repository, task_lineage_id, project_id, started_at, ended_at from sessions"
 
 
-@query(f"""with r as ({_UPSERT.format(t='title')} union all {_UPSERT.format(t="'late ' || title").replace("id as seq", "id + 1000000000 as seq")} where id % 2 = 0)
+@query(f"""with r as ({_UPSERT.format(t='title')} union all {_UPSERT.format(t="'late ' || title").replace("id as seq", "id + 1000000000 as seq")})
 select session_uid, coalesce(arg_min(title, seq) filter (where title <> ''), '') as title, coalesce(arg_min(cwd, seq) filter (where cwd <> ''), '') as cwd, coalesce(arg_min(repository, seq) filter (where repository <> ''), '') as repository,
 coalesce(arg_max(task_lineage_id, seq) filter (where task_lineage_id <> ''), '') as task_lineage_id, coalesce(arg_max(project_id, seq) filter (where project_id <> ''), '') as project_id,
 coalesce(min(started_at) filter (where started_at > 0), 0) as started_at, max(ended_at) as ended_at from r group by 1""")
 def session_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions merged with a second delivery of every other one under a later title."""
+    """Sessions merged with a second delivery of each under a later title."""
     s = table(spark, sf_dir, "sessions").select(F.col("id").alias("seq"), "session_uid", "title", "cwd", "repository", "task_lineage_id", "project_id", "started_at", "ended_at")
-    late = s.where("seq % 2 = 0").withColumns({"title": F.concat(F.lit("late "), "title"), "seq": F.col("seq") + 1_000_000_000})
+    late = s.withColumns({"title": F.concat(F.lit("late "), "title"), "seq": F.col("seq") + 1_000_000_000})
     return S.upserted(s, late)
 
 
