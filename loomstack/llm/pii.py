@@ -35,6 +35,7 @@ _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
 EMAIL = re.compile(rf"(?<![\w.%+\-@/]){_LOCAL}@{_LABEL}(?:\.{_LABEL})+")
 EMAIL_SPELT = re.compile(
     rf"(?<![\w.%+\-@/]){_LOCAL}\s*[\[({{]\s*at\s*[\])}}]\s*{_LABEL}(?:(?:\.|\s*[\[({{]\s*dot\s*[\])}}]\s*){_LABEL})+", re.I)
+_IN_URL = re.compile(r"://[^\s/\"']*$")
 #: Endings that make name@2x.png a file and not a mailbox.
 FILE_ENDINGS = frozenset("png jpg jpeg gif svg webp ico css js ts tsx jsx py go rb gd json yaml yml toml md txt html xml sh lock".split())
 
@@ -177,7 +178,7 @@ def _mails(t: str, s: Spans) -> None:
             end = m.end()
             tail, domain = t[end:end + 2], m.group().rpartition("@")[2]
             last = domain.rpartition(".")[2].lower()
-            repository = tail[:1] == ":" and tail[1:2].strip() != "" or t[max(0, m.start() - 3):m.start()] == "://"
+            repository = tail[:1] == ":" and tail[1:2].strip() != "" or _IN_URL.search(t[max(0, m.start() - 100):m.start()]) is not None
             if last.isalpha() and len(last) > 1 and last not in FILE_ENDINGS and not repository:
                 s.add(m.start(), end, "EMAIL")
             else:
@@ -234,7 +235,8 @@ def _phones(t: str, s: Spans) -> None:
             if not 9 <= n <= 15 or not s.free(m.start(), end):
                 continue
             before = t[max(0, m.start() - 40):m.start()]
-            score = 0.7 - 0.5 * bool(NOT_PHONE_CONTEXT.search(before)) + 0.2 * bool(PHONE_CONTEXT.search(before))
+            base = 0.5 if BARE_PHONE.match(v) else 0.7
+            score = base - 0.5 * bool(NOT_PHONE_CONTEXT.search(before)) + 0.2 * bool(PHONE_CONTEXT.search(before))
             if score >= THRESHOLD:
                 s.add(m.start(), end, "PHONE")
 
