@@ -51,8 +51,9 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, x in enumerate(cur):
                 there[i, [alphabet[c] for c in set(x["norm"])]] = 1
             lc, lp = np.array([len(x["norm"]) for x in cur]), np.array([len(x["norm"]) for x in pri])
-            place = {p: k for k, p in enumerate(sorted({tuple(x["at"].values()) for x in (*cur, *pri)}))}
-            ac, ap = (np.array([place[tuple(x["at"].values())] for x in side]) for side in (cur, pri))
+            spot = lambda x: tuple(x["at"].values()) if isinstance(x["at"], dict) else (x["at"],)
+            place = {p: k for k, p in enumerate(sorted({spot(x) for x in (*cur, *pri)}))}
+            ac, ap = (np.array([place[spot(x)] for x in side]) for side in (cur, pri))
             at = ac[:, None] > ap[None, :]
             hit = (there @ count.T >= SIMILAR * np.maximum(lc[:, None], lp[None, :]) - 1e-4) & at
             for i in np.flatnonzero(hit.any(axis=1)):
