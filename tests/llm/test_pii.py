@@ -11,7 +11,7 @@ LEX = pii.Lexicon.of([("Tamsin", "given"), ("Odessa", "given"), ("Harbor", "give
     ("Clone git@forge.example:team/x.git, icon@2x.png, pkg@1.2.3, @app.route, https://u:p@host.example/", []),
     ("Call +44 20 7946 0186 or (303) 555-0127, 001-512-555-0126 ext. 49.", [("PHONE", "+44 20 7946 0186"), ("PHONE", "(303) 555-0127"), ("PHONE", "001-512-555-0126 ext. 49")]),
     ("on the phone (+81 3 0154 0054)", [("PHONE", "+81 3 0154 0054")]),
-    ("Tel. 01.99.00.45.22, 030/23125-171, ０３－０１６６－００５７, 14155550169", [("PHONE", "01.99.00.45.22"), ("PHONE", "030/23125-171"), ("PHONE", "０３－０１６６－００５７"), ("PHONE", "14155550169")]),
+    ("Tel. 01.99.00.45.22, 030/23125-171, ０３－０１６６－００５７, tel 14155550169", [("PHONE", "01.99.00.45.22"), ("PHONE", "030/23125-171"), ("PHONE", "０３－０１６６－００５７"), ("PHONE", "14155550169")]),
     ("Run 20260820-1099 took 1099.65 ms on 10.0.24.7:8080, epoch 1787191231, ticket 4711-225-49", []),
     ("ssn 931-14-5835, passport number C029QKR918 and id_no=04775635778", [("ID_NUMBER", "931-14-5835"), ("ID_NUMBER", "C029QKR918"), ("ID_NUMBER", "04775635778")]),
     ("national id 2 99 13 99 910 795 / QQ 75 42 48 C", [("ID_NUMBER", "2 99 13 99 910 795"), ("ID_NUMBER", "QQ 75 42 48 C")]),
