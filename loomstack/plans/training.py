@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstack.operators import dedup, hierarchy, incremental, timestamps
-from loomstack.runtime import table
+from loomstack.runtime import table, written
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +40,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_session_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path, depth, root and number of descendants of every session that is not on or below a loop."""
     links = hierarchy.session_links(table(spark, sf_dir, "sessions", "id", "session_uid", "agent", "native_id", "parent_session_id"))
-    t = hierarchy.tours(links)
-    path = hierarchy.paths(t, t.select("scope_id", "nid"), ">")
+    t = written(hierarchy.tours(links), "tours")
+    path = hierarchy.paths(t, ">")
     return t.join(path, ["scope_id", "nid"]).select("node", "root", "depth", "descendants", "path")
 
 
