@@ -56,7 +56,7 @@ def run(argv: list[str] | None = None, spark=None) -> list[dict]:
     from loomstack.operators import episodes as E
     from loomstack.operators import sessions as S
     from loomstack.plans import ingest, retrieval, training, transcripts
-    from loomstack.runtime import local_session, table, written
+    from loomstack.runtime import local_session, table
 
     a = _parser().parse_args(argv)
     named = {k: v for m in (training, retrieval, transcripts, ingest) for k, v in m.QUERIES.items()}
@@ -82,7 +82,7 @@ def run(argv: list[str] | None = None, spark=None) -> list[dict]:
             raise SystemExit("no such session" if not exact else "several sessions have this id")
         df = S.materialized(table(spark, a.data, "session_events").where(F.col("session_id") == exact[0]["id"])).orderBy(*S.ORDER)
     elif a.command == "find":
-        index = written(S.event_index(table(spark, a.data, "event_contents")), "event_index")
+        index = S.event_index(table(spark, a.data, "event_contents"))
         df = S.search_events(index, S.materialized(table(spark, a.data, "session_events")), sessions(), " ".join(a.query), agent=a.agent, project=a.project, lineage=a.lineage, limit=a.limit, **window)
     else:
         e = E.episodes(E.anchors(S.materialized(table(spark, a.data, "session_events")), table(spark, a.data, "event_contents")), sessions(), **window)

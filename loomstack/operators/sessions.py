@@ -125,8 +125,9 @@ def event_index(contents: DataFrame) -> DataFrame:
     """Term arrays of the contents; contents without any term are not part of the index."""
     body = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.coalesce("diff", F.lit("")))
     paths = F.array_join(F.coalesce(F.col("files"), F.array().cast("array<string>")), " ") if "files" in contents.columns else F.lit("")
-    i = contents.select(F.col("id").alias("content_id"), T.terms(T.tokens(body)).alias("body_terms"), T.terms(T.tokens(F.col("command"))).alias("command_terms"), T.terms(T.path_terms(paths)).alias("file_terms"))
-    return i.where((F.size("body_terms") > 0) | (F.size("command_terms") > 0) | (F.size("file_terms") > 0))
+    i = contents.select(F.col("id").alias("content_id"), T.text_terms(body).alias("body_terms"), T.text_terms(F.col("command")).alias("command_terms"), T.terms(T.path_terms(paths)).alias("file_terms"))
+    # Written before the filter, which would otherwise be pushed below the analysis and repeat it.
+    return written(i, "event_index").where((F.size("body_terms") > 0) | (F.size("command_terms") > 0) | (F.size("file_terms") > 0))
 
 
 def search_events(index: DataFrame, events: DataFrame, sessions: DataFrame, query: str, *, kind=None, agent=None, project=None, lineage=None, from_ms=None, to_ms=None, limit: int | None = None) -> DataFrame:

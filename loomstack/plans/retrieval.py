@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstack.functions import text as T
 from loomstack.operators import bm25, chunking, fusion, symbols
-from loomstack.runtime import table, written
+from loomstack.runtime import spread, table, written
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -63,7 +63,7 @@ def sql_terms(stage1: str) -> str:
 # ---- tokenizers -------------------------------------------------------------------------------------------------------------
 @query(f"select doc_id, coalesce(array_to_string({sql_tokens(chr(116) + 'ext')}, ' '), '') as tokens from (select doc_id, coalesce(text, '') as text from documents)")
 def tokens_stage1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
+    return spread(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", F.array_join(T.text_tokens(F.col("text")), " ").alias("tokens"))
 
 
 @query(f"select id, coalesce(array_to_string({sql_tokens('title', True)}, ' '), '') as tokens from (select id, coalesce(title, '') as title from sessions)")
@@ -73,7 +73,7 @@ def tokens_query_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select doc_id, terms, n from (select doc_id, coalesce(array_to_string({sql_terms('s')}, ' '), '') as terms, coalesce(len({sql_terms('s')}), 0)::bigint as n from (select doc_id, {sql_tokens('text')} as s from (select doc_id, coalesce(text, '') as text from documents)))")
 def tokens_stage2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", T.terms(T.tokens(F.col("text"))).alias("t"))
+    d = spread(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", T.text_terms(F.col("text")).alias("t"))
     return d.select("doc_id", F.array_join("t", " ").alias("terms"), F.size("t").cast("long").alias("n"))
 
 
@@ -102,21 +102,21 @@ _BODY = {"body_terms": 1.0}
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The written index of the documents."""
-    return written(table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", T.terms(T.tokens(F.col("text"))).alias("body_terms")), "index")
+    return written(spread(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", T.text_terms(F.col("text")).alias("body_terms")), "index")
 
 
 def _chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The written index of the chunks."""
-    return written(bm25.chunk_index(table(spark, sf_dir, "chunks", "id", "path", "start_line", "end_line", "raw_body")), "index")
+    return written(bm25.chunk_index(spread(table(spark, sf_dir, "chunks", "id", "path", "start_line", "end_line", "raw_body"))), "index")
 
 
 def _symbol_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = symbols.symbols(table(spark, sf_dir, "chunks").select("file_id", "path", F.col("raw_body").alias("content"), F.col("start_line").alias("first_line")))
+    found = symbols.symbols(spread(table(spark, sf_dir, "chunks", "file_id", "path", "raw_body", "start_line")).select("file_id", "path", F.col("raw_body").alias("content"), F.col("start_line").alias("first_line")))
     # Windows of a file overlap: a definition in two of them is one symbol.
     found = found.groupBy("file_id", "path", "name", "kind", "start_line").agg(F.max(F.struct("end_line", "raw_signature")).alias("s")).select(
         "file_id", "path", "name", "kind", "start_line", "s.*")
     return written(found.withColumns({
-        "name_terms": T.terms(T.tokens(F.col("name"))), "path_terms": T.terms(T.path_terms(F.col("path"))), "signature_terms": T.terms(T.tokens(F.col("raw_signature")))}), "symbols")
+        "name_terms": T.text_terms(F.col("name")), "path_terms": T.terms(T.path_terms(F.col("path"))), "signature_terms": T.text_terms(F.col("raw_signature"))}), "symbols")
 
 
 @query(_sql_bm25(_DOCS, ["the", "view"], _BODY, "and", "doc_id", "", "doc_id", 10))
@@ -179,7 +179,7 @@ _SQL_END = "(case when {s} + {size} > n then n else coalesce(list_max(list_filte
 
 
 def _windows(spark: SparkSession, sf_dir: str, size: int, overlap: int) -> DataFrame:
-    c = chunking.chunks(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", size, overlap)
+    c = chunking.chunks(spread(table(spark, sf_dir, "documents", "doc_id", "text")), "doc_id", "text", size, overlap)
     return c.select("doc_id", "start_line", "end_line", F.sha2("body", 256).alias("body_sha"))
 
 

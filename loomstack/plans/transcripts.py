@@ -12,7 +12,7 @@ from loomstack.operators import normalize as N
 from loomstack.operators import sessions as S
 from loomstack.operators.timestamps import FROM_S, TO_S
 from loomstack.plans.retrieval import sql_terms, sql_tokens
-from loomstack.runtime import table, written
+from loomstack.runtime import spread, table, written
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -237,7 +237,7 @@ select event_id, content_id, session_uid, kind, raw_event_count, round(score, 6)
 
 
 def _search(spark: SparkSession, sf_dir: str, **filters) -> DataFrame:
-    index = written(S.event_index(_contents(spark, sf_dir)), "event_index")
+    index = S.event_index(spread(_contents(spark, sf_dir)))
     h = S.search_events(index, _events(spark, sf_dir), table(spark, sf_dir, "sessions"), "rate limiter", **filters)
     return h.select("event_id", "content_id", "session_uid", "kind", "raw_event_count", F.round("score", 6).alias("score"))
 

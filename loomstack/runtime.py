@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before work that is heavy per row, if the scan came in fewer partitions than there are cores.
+
+    A table of many files already has more, and then nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share: the session's ``spark.checkpoint.dir``.
 
