@@ -123,12 +123,22 @@ def summary(eps: DataFrame) -> DataFrame:
     return flat
 
 
-def frames(anchored: DataFrame, before: int, after: int) -> DataFrame:
-    """(event_id, anchor, frame): ids of the events from ``before`` rows ahead of each anchor to ``after`` rows behind it."""
-    w = Window.partitionBy("session_id").orderBy(*ORDER).rowsBetween(-before, after)
+def frames(anchored: DataFrame, before: int, after: int | None) -> DataFrame:
+    """(event_id, anchor, frame): ids of the events from ``before`` rows ahead of each anchor to ``after`` rows behind it; None: to the end of the session."""
+    w = Window.partitionBy("session_id").orderBy(*ORDER).rowsBetween(-before, Window.unboundedFollowing if after is None else after)
     return anchored.withColumn("frame", F.collect_list("id").over(w)).where("anchor is not null").select(F.col("id").alias("event_id"), "anchor", "frame")
 
 
+def matched(anchored: DataFrame, hits: DataFrame) -> DataFrame:
+    """(event_id, matched): anchors with the ids of the ``hits`` (hit) from the anchor to the end of its session, if there are any.
+
+    Places in the session are compared, so that no frame is collected; a search returns few hits, so these are sent to the anchors.
+    """
+    at = anchored.join(F.broadcast(hits.select(F.col("hit").alias("id"))), "id", "left_semi").select("session_id", F.col("id").alias("hit"), F.struct(*ORDER).alias("hit_at"))
+    a = anchored.where("anchor is not null").select("session_id", F.col("id").alias("event_id"), F.struct(*ORDER).alias("anchor_at"))
+    return a.join(F.broadcast(at), "session_id").where("anchor_at <= hit_at").groupBy("event_id").agg(F.sort_array(F.collect_set("hit")).alias("matched"))
+
+
 def outcome(kind: Column, code: Column) -> Column:
     return F.when(kind.isin("error", "test_failure") | F.coalesce(code != 0, F.lit(False)), "failure").when(F.coalesce(code == 0, F.lit(False)), "success").otherwise("unknown")
 

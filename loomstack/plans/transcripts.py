@@ -318,13 +318,10 @@ def episode_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def episode_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Episodes whose frame holds an event that a search found, with the reasons."""
-    hits = _search(spark, sf_dir, limit=50).select(F.col("event_id").alias("hit"))
+    """Episodes that hold an event that a search found, with the reasons; an episode lasts from its anchor to the end of the session."""
+    hits = written(_search(spark, sf_dir, limit=50).select(F.col("event_id").alias("hit")), "hits")
     anchored = _anchored(spark, sf_dir)
-    near = anchored.join(F.broadcast(hits.withColumnRenamed("hit", "id")), "id", "left_semi").select("session_id").distinct()
-    frames = E.frames(anchored.join(near, "session_id", "left_semi"), 0, 20)
-    matched = frames.select("event_id", "anchor", F.explode("frame").alias("hit")).join(F.broadcast(hits), "hit").groupBy("event_id", "anchor").agg(F.sort_array(F.collect_set("hit")).alias("matched"))
-    return E.episodes(anchored, table(spark, sf_dir, "sessions")).join(matched.drop("anchor"), "event_id").select("episode_id", "ts", "anchor", "task_status", F.array_join("matched", ",").alias("matched"))
+    return E.episodes(anchored, table(spark, sf_dir, "sessions")).join(E.matched(anchored, hits), "event_id").select("episode_id", "ts", "anchor", "task_status", F.array_join("matched", ",").alias("matched"))
 
 
 # ---- evidence ---------------------------------------------------------------------------------------------------------------

@@ -95,3 +95,19 @@ def test_upsert_rules(spark):
     u = got["u"]
     assert (u.title, u.cwd, u.repository, u.task_lineage_id, u.project_id, u.started_at, u.ended_at) == ("t", "/a", "r", "l2", "p", 3, 5)
     assert got["v"].title == "" and got["v"].started_at == 0
+
+
+def test_episode_search_reaches_the_end_of_the_session(spark, sf, tmp_path):
+    from loomstack.plans import transcripts
+
+    event = lambda i, kind, session=1: {"id": i, "session_id": session, "content_id": i, "source_id": 1, "record_ordinal": i, "part_ordinal": 0, "ts": 1_770_000_000_000 + i * 1000, "role": "assistant", "kind": kind}
+    events = [event(1, "error"), *[event(i, "message") for i in range(2, 60)], event(60, "error"), event(61, "message"), event(62, "error"), event(63, "message"), event(70, "error", 2)]
+    rows = {"sessions": [{"id": i, "session_uid": f"u{i}", "agent": "pi", "status": ""} for i in (1, 2)], "session_events": events,
+            "event_contents": [{"id": e["id"], "text": "the rate limiter" if e["id"] in (55, 61) else f"plain {e['id']}"} for e in events]}
+    for name, values in rows.items():
+        schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
+        spark.createDataFrame([tuple(v.get(c) for c in schema.names) for v in values], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.episode_id: r.matched for r in transcripts.episode_search(spark, str(tmp_path)).collect()}
+    assert got == {"u1:1:error": "55,61", "u1:60:error": "61"}
+    anchored = transcripts._anchored(spark, str(tmp_path))
+    assert {r.event_id: len(r.frame) for r in E.frames(anchored, 0, None).collect()} == {1: 63, 60: 4, 62: 2, 70: 1}
