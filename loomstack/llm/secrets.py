@@ -7,7 +7,8 @@
 3. *Confirm.* Rare values of a known structure, or under a credential-like name with the look of a secret, are confirmed.
 4. *Re-scan.* Every chunk is searched again for confirmed secrets, wherever they stand. The set of secrets grows with the corpus,
    so it is not broadcast: words of the chunks meet the anchor word of each secret in a join, and an Aho-Corasick automaton over just
-   the secrets that met a chunk decides on its text.
+   the secrets that met a chunk decides on its text. Secrets without a word of WORD characters are anchored by a few of their characters
+   in a row; a bitmap of fixed size keeps the chunks from sending all of theirs. What a chunk proposed stays found in it.
 
 Defined results: null and empty bodies give nothing; a secret that stands several times in a chunk is reported once; a private
 key that the chunk's window cuts is no whole literal and not reported; repeated chunk ids count as one chunk; extra columns are
@@ -22,12 +23,18 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstack.runtime import table, written
 
+#: Least characters of an anchor word; characters in a row that anchor a secret without one, the first number that it is long enough for.
+WORD, GRAMS = 3, (4, 2, 1)
+#: Bits of the bitmap over the anchors of secrets without a word, as a power of two.
+BITS = 20
 #: A literal in more files than this, and in more than this share of all files, is widely shared.
 SHARED_FILES, SHARED_PART = 8, 0.0005
 
@@ -172,9 +179,55 @@ def confirmed(index: DataFrame, files: int) -> DataFrame:
     return owners.where(F.col("owners") <= limit).select("literal")
 
 
-def _anchor(v: str) -> str:
-    """The longest word of a secret."""
-    return max(re.findall(r"[A-Za-z0-9]+", v) or [v], key=len)
+def _grams(text: str, n: int) -> np.ndarray:
+    """A number for each ``n`` characters in a row of ``text``."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    h = np.zeros(max(len(c) - n + 1, 0), np.uint64)
+    for k in range(n):
+        h = (h ^ c[k:k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
+
+
+def _anchor(v: str) -> tuple[int, int]:
+    """(characters, number) that anchor a secret without a word: of its characters in a row those with the most different ones."""
+    n = next(n for n in GRAMS if len(v) >= n)
+    at = max(range(len(v) - n + 1), key=lambda i: len(set(v[i:i + n])))
+    return n, int(_grams(v[at:at + n], n)[0])
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values = batch.column("literal").to_pylist()
+        sizes, grams = zip(*map(_anchor, values)) if values else ((), ())
+        yield pa.RecordBatch.from_arrays([batch.column("literal"), pa.array(sizes, pa.int32()), pa.array(grams, pa.int64())], ["literal", "n", "gram"])
+
+
+def _gram_meets(chunks: DataFrame, odd: DataFrame) -> DataFrame:
+    """(id, literal) of chunks and the secrets without a word whose anchor they hold; some hold only a part that is numbered alike."""
+    anchors = written(odd.mapInArrow(_anchors, "literal string, n int, gram long"), "grams")
+    buckets = anchors.select("n", F.expr(f"gram & {2 ** BITS - 1}").alias("bit")).distinct().toArrow()  # at most 2^BITS for each of GRAMS
+    bitmaps = {}
+    for n in set(buckets["n"].to_pylist()):
+        bitmaps[n] = np.zeros(2 ** BITS, bool)
+        bitmaps[n][buckets.filter(pa.compute.equal(buckets["n"], n))["bit"].to_numpy()] = True
+    sent = chunks.sparkSession.sparkContext.broadcast({n: np.packbits(m) for n, m in bitmaps.items()})
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps = {n: np.unpackbits(m).astype(bool) for n, m in sent.value.items()}
+        for batch in batches:
+            ids, sizes, grams = [], [], []
+            for chunk, body in zip(batch.column("id").to_pylist(), batch.column("raw_body").to_pylist()):
+                for n, m in maps.items():
+                    g = _grams(body, n)
+                    g = np.unique(g[m[g & (2 ** BITS - 1)]])
+                    ids += [chunk] * len(g)
+                    sizes += [n] * len(g)
+                    grams += g.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(grams, pa.int64())], ["id", "n", "gram"])
+
+    held = chunks.where("raw_body is not null").select("id", "raw_body").mapInArrow(scan, "id long, n int, gram long")
+    return held.join(anchors, ["n", "gram"]).select("id", "literal")
 
 
 def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,17 +252,23 @@ def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def rescan(chunks: DataFrame, secrets: DataFrame) -> DataFrame:
     """(chunk_id, secret) for every chunk in which a confirmed secret stands as a whole."""
-    anchored = secrets.select("literal", F.expr("reduce(regexp_extract_all(literal, '[A-Za-z0-9]+', 0), literal, (a, w) -> if(a = literal and w <> '' or length(w) > length(a), w, a))").alias("word"))
-    words = chunks.where("raw_body is not null").select("id", F.explode(F.array_distinct(F.filter(F.split("raw_body", "[^A-Za-z0-9]+"), lambda w: F.length(w) >= 3))).alias("word"))
-    meets = words.join(anchored, "word").groupBy("id").agg(F.collect_set("literal").alias("secrets"))
-    return chunks.select("id", "raw_body").join(meets, "id").mapInArrow(_hits, "chunk_id long, secret string").distinct()
+    anchored = secrets.select("literal", F.expr("reduce(regexp_extract_all(literal, '[A-Za-z0-9]+', 0), '', (a, w) -> if(length(w) > length(a), w, a))").alias("word"))
+    words = chunks.where("raw_body is not null").select("id", F.explode(F.array_distinct(F.filter(F.split("raw_body", "[^A-Za-z0-9]+"), lambda w: F.length(w) >= WORD))).alias("word"))
+    meets = words.join(anchored.where(F.length("word") >= WORD), "word").select("id", "literal")
+    odd = anchored.where(F.length("word") < WORD).select("literal")
+    if not odd.isEmpty():
+        meets = meets.unionByName(_gram_meets(chunks, odd))
+    meets = meets.groupBy("id").agg(F.collect_set("literal").alias("secrets"))
+    return chunks.select("id", "raw_body").join(meets, "id").mapInArrow(_hits, "chunk_id long, secret string")
 
 
 def secrets(chunks: DataFrame) -> DataFrame:
     """(chunk_id, secret): index, suppress, confirm and re-scan."""
     index = written(literals(chunks), "literals")
     files = chunks.agg(F.approx_count_distinct("file_id")).first()[0]
-    return rescan(chunks, written(confirmed(index, files), "secrets"))
+    sure = written(confirmed(index, files), "secrets")
+    proposed = index.join(sure, "literal", "left_semi").select("chunk_id", F.col("literal").alias("secret"))
+    return rescan(chunks, sure).unionByName(proposed).distinct()
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:

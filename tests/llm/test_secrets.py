@@ -32,3 +32,13 @@ def test_redaction_keeps_code_in_place(spark):
     got = {r.id: r.raw_body for r in S.redacted(c).collect()}
     assert len(got[1]) == len(body) and got[1].count("\n") == body.count("\n") and "MII" not in got[1] and 'password = "***************"' in got[1]
     assert got[2] == "clean" and got[3] is None
+
+
+def test_secrets_without_a_word_are_kept_and_found_everywhere(spark):
+    odd = ["k#9!vQ@2%z", "a1-b2-c3-d4", "!@#$%^&*()-", "пароль-тайна7", "秘密の合言葉です9"]
+    rows = [(i, i, f'password = "{v}"') for i, v in enumerate(odd)] + [(10 + i, 10 + i, f"log: got {v} ok") for i, v in enumerate(odd)]
+    rows += [(20, 20, "url: redis://u:q7@host:1/"), (21, 21, "with q7, once"), (22, 22, "xq7 q7x"), (23, 23, "a1-b2-c3-d45"), (24, 24, None), (25, 25, "q")]
+    c = spark.createDataFrame(rows, "id long, file_id long, raw_body string")
+    want = [(i + k, v) for i, v in enumerate(odd) for k in (0, 10)] + [(20, "q7"), (21, "q7")]
+    assert sorted(tuple(r) for r in S.secrets(c).collect()) == sorted(want)
+    assert not any(v in r.raw_body for r in S.redacted(c).collect() if r.id < 20 for v in odd)
