@@ -71,7 +71,7 @@ VENDOR = re.compile(
 PRIVATE_KEY = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----[\s\S]*?-----END \1PRIVATE KEY-----")
 SCHEME = re.compile(r"^(Bearer|Basic|Token|ApiKey|Api-Key|Digest|Negotiate|Key)[ \t]+(\S+)$", re.I)
 URL_LOGIN = re.compile(r"\b[a-z][a-z0-9+.\-]*://([^\s/:@\"'`<>]*):([^\s\"'`]+?)@(?=[A-Za-z0-9\[])", re.I)
-QUOTED = re.compile(r"""([A-Za-z_][\w.\-]*)["'`]?[ \t]*\]?[ \t]*(?::[ \t]*[A-Za-z]+[ \t]*=|:=|\|\|=|\?\?=|=>|==?|:|,|["'][ \t]+value=)[ \t]*(["'`])([^"'`\r\n]{0,4000})\2""")
+QUOTED = re.compile(r"""([A-Za-z_][\w.\-]*)["'`]?[ \t]*\]?[ \t]*(?::[ \t]*[A-Za-z]+[ \t]*=|:=|\|\|=|\?\?=|=>|==?|:|,|["'][ \t]+value=)[ \t]*(["'`])([^"'`\r\n]*+)\2""")
 BARE = re.compile(r"^[ \t]*(?:export[ \t]+|set[ \t]+|-[ \t]+|ENV[ \t]+)?([A-Za-z_][\w.\-]*)[ \t]*[=:][ \t]*([^\s\"'`{}\[\](),;<>#][^\r\n\"'`]*?)[ \t]*(?:[ \t]#[^\r\n]*)?\r?$", re.M)
 ELEMENT = re.compile(r"<([A-Za-z_][\w.\-]*)>([^<>\r\n]+)</\1>")
 NAMED = re.compile(r"""["']?name["']?[ \t]*[:=][ \t]*["']?([A-Za-z_][\w.\-]*)["']?[ \t]*,?\s+["']?value["']?[ \t]*[:=][ \t]*(?:(["'`])([^"'`\r\n]*)\2|([^\s"'`]+))""")
@@ -92,7 +92,7 @@ def entropy(s: str) -> float:
 
 def _secret_look(v: str) -> bool:
     """The look of a secret rather than of a word, number, path or piece of code."""
-    if len(v) < 6 or len(v) > 4000 or v.isdigit() or re.search(r"\s", v):
+    if len(v) < 6 or v.isdigit() or re.search(r"\s", v):
         return False
     if re.search(r"[()\[\]{}]|::|->|=>", v) and re.match(r"[A-Za-z_][\w.]*[(\[{]", v):
         return False

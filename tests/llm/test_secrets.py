@@ -42,3 +42,15 @@ def test_secrets_without_a_word_are_kept_and_found_everywhere(spark):
     want = [(i + k, v) for i, v in enumerate(odd) for k in (0, 10)] + [(20, "q7"), (21, "q7")]
     assert sorted(tuple(r) for r in S.secrets(c).collect()) == sorted(want)
     assert not any(v in r.raw_body for r in S.redacted(c).collect() if r.id < 20 for v in odd)
+
+
+def test_long_values_on_one_line(spark):
+    import base64
+    import random
+
+    long = base64.b64encode(random.Random(4).randbytes(30_000)).decode()
+    for body in (f'API_SECRET = "{long}"', f"export API_SECRET={long}", f"<password>{long}</password>", f'url: "postgres://app:{long}@db.example/main"'):
+        assert {v for v, _ in S.propose(body)} == {long}, body[:20]
+    c = spark.createDataFrame([(1, 1, f'private_key: "{long}"'), (2, 2, f"got {long}.")], "id long, file_id long, raw_body string")
+    assert sorted(tuple(r) for r in S.secrets(c).collect()) == [(1, long), (2, long)]
+    assert [v for v, _ in S.propose('password = "' + "ab1 " * 100_000)] == []
