@@ -6,7 +6,7 @@ by one is closed to the next, so that a name inside an e-mail address is no name
 that introduces a person; words that are only capitalised are no names.
 
 One pass of Arrow batches, no shuffle but the final distinct, which is local to the rows of one content. Rows without any trigger
-(an Aho-Corasick automaton over known name parts and context words, and one expression for digits) leave the pass at once.
+(Aho-Corasick automata over known name parts and context words, and expressions for digits and contexts) leave the pass at once.
 
 Defined results: null and empty texts give no rows and stay as they are; texts of any length are read whole; a value that occurs
 several times in a field is reported once; repeated content ids are treated as one content; an empty name list leaves names to
@@ -87,9 +87,9 @@ TOKEN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]{2,})*")
 HAN = "一-鿿々ヶ"
 STRONG_LEFT = re.compile(
     r"(?:\b(?:full_?|user_?|first_?|last_?)?name[\"']?\s*[:=]\s*[\"']?|\bfor user |\bbelongs to |\btalked to |\bcustomer: |担当は ?|(?:signed-off|co-authored|reviewed|acked|tested)-by: "
-    r"|\b(?:kontakt|contact|ansprechpartner): |--owner[ =][\"']?|--author[ =][\"']?|\b(?:dr|prof|mr|mrs|ms|herr|frau|mme)\.? )$", re.I)
+    r"|\b(?:kontakt|contact|ansprechpartner): |--owner[ =][\"']?|--author[ =][\"']?|\b(?:dr|prof|mr|mrs|(?<!\d)(?<!\d )ms|herr|frau|mme)\.? )$", re.I)
 WEAK_LEFT = re.compile(r"(?:\bvon |\bby |\bfrom |\bwith |echo [\"'])$", re.I)
-TITLE_LEFT = re.compile(r"\b(?:dr|prof|mr|mrs|ms|herr|frau|mme)\.? $", re.I)
+TITLE_LEFT = re.compile(r"\b(?:dr|prof|mr|mrs|(?<!\d)(?<!\d )ms|herr|frau|mme)\.? $", re.I)
 RIGHT = re.compile(r"'s machine| id_no| street=|’s machine| ?さん| <|, reachable| asked for this| darf nicht|;|\"")
 TITLES = frozenset("dr prof mr mrs ms herr frau mme sir madam".split())
 STOP_NAMES = OPENERS | frozenset("User Name Owner Phone Address Street Mail Email Error Worker Branch Relay Server Session Team Test File".split())
@@ -334,23 +334,50 @@ def redact(text: str | None, lex: Lexicon) -> str | None:
     return "".join([*out, text[at:]])
 
 
-#: Words that any proposal needs nearby; with the known name parts they feed the automaton that lets rows without a trigger pass.
-TRIGGERS = ("@", "(at)", "[at]", "{at}", " at]", " at)", "name", "for user", "belongs to", "talked to", "customer", "担当", "さん", "-by:", "kontakt", "contact:", "--owner",
-            "--author", "dr. ", "prof. ", "mr. ", "mrs. ", "ms. ", "herr ", "frau ", "machine", "asked for this", " von ", "reachable", "県", "都", "府", "道")
-DIGITS = re.compile(r"\d{5}|\d[ ./)\-]{1,2}\d{2,}[ ./\-]\d{2}|[０-９]{2}|\d [A-Z][a-z]+.{0,30}, [A-Z]|[A-Z]{2} ?\d\d ?\d\d|[A-Z]\d{3}[A-Z]")
+# ---- trigger ----------------------------------------------------------------------------------------------------------------
+# What each part of detect() cannot do without; the trigger has to hold wherever detect() finds something, so a change there needs one here.
+#: Openings of the addresses, numbers and phones; a phone has 9 digits with at most three signs between two of them.
+SHAPES = re.compile(
+    r"\d(?:[ .\-/()]{0,3}\d){8}|[０-９]{2}|, (?:[DF]-)?\d{5} [A-ZÀ-ÖØ-Þ]|"
+    rf"\d[A-Za-z]? (?:[A-Z][a-z]+\.? ){{1,4}}?{_STREET_EN}\b|[都道府県][一-鿿々ヶぁ-ゖァ-ヺー]{{1,24}}?[0-9０-９]|"
+    r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]\d{3}[A-Z]{3}\d{3}|[CFGHJKLMNPRTVWXYZ][0-9CFGHJKLMNPRTVWXYZ]{8}\d")
+SPELT_AT = re.compile(r"[\[({]\s*at\s*[\])}]", re.I)
+_LETTER = r"[^\W\d_]"
+#: Names of unknown parts: every left context with a letter behind it, every right context with a letter ahead, and a weak left one with a closing sign.
+#: Left contexts are searched in the 30 characters before a name, where a word may begin that is cut in the text; only ``name`` reaches that far.
+#: Their $ also matches ahead of a line end.
+CONTEXT = re.compile(
+    rf"name[\"']?\s*[:=]\s*[\"']?\n?{_LETTER}|(?:\bfor user |\bbelongs to |\btalked to |\bcustomer: |担当は ?|(?:signed-off|co-authored|reviewed|acked|tested)-by: "
+    rf"|\b(?:kontakt|contact|ansprechpartner): |--(?:owner|author)[ =][\"']?|\b(?:dr|prof|mr|mrs|ms|herr|frau|mme)\.? )\n?{_LETTER}"
+    rf"|{_LETTER}(?:['’]s machine| id_no| street=| ?さん| <|, reachable| asked for this| darf nicht)|[{HAN}]\""
+    rf"|(?:\bvon |\bby |\bfrom |\bwith |echo [\"'])\n?{_LETTER}(?:{_LETTER}|['’\-])*(?:,? |\. )(?:{_LETTER}\. )?{_LETTER}(?:{_LETTER}|['’\-])*[;\"]", re.I)
+#: Words of CONTEXT, in lower case, one of which stands wherever it matches.
+CUES = ("name", "for user ", "belongs to ", "talked to ", "customer: ", "担当は", "-by: ", "kontakt: ", "contact: ", "ansprechpartner: ", "--owner", "--author",
+        *(f"{t}{dot} " for t in ("dr", "prof", "mr", "mrs", "ms", "herr", "frau", "mme") for dot in ("", ".")),
+        "s machine", " id_no", " street=", "さん", " <", ", reachable", " asked for this", " darf nicht", '"', "von ", "by ", "from ", "with ", "echo '")
+#: Letters that equal i and s when case is ignored, but not in lower case.
+_AS_ASCII = str.maketrans("İıſ", "iis")
 
 
 def trigger(lex: Lexicon):
-    """Predicate: may the text hold personal data at all?"""
+    """Predicate: may the text hold personal data at all? It holds for every text in which detect() finds something."""
     import ahocorasick
 
-    auto = ahocorasick.Automaton()
-    for w in {*TRIGGERS, *lex.given, *lex.family}:
-        auto.add_word(w, 1)
-    auto.make_automaton()
+    known, cues = ahocorasick.Automaton(), ahocorasick.Automaton()
+    for auto, words in ((known, {*lex.given, *lex.family, "\0\0"}), (cues, CUES)):
+        for w in words:
+            auto.add_word(w, 1)
+        auto.make_automaton()
 
     def test(t: str) -> bool:
-        return DIGITS.search(t) is not None or next(auto.iter(t.lower()), None) is not None
+        if "@" in t or SHAPES.search(t) or SPELT_AT.search(t):
+            return True
+        low = t.lower()
+        if next(known.iter(low), None) is not None:
+            return True
+        if next(cues.iter(low if t.isascii() else t.translate(_AS_ASCII).lower()), None) is None:
+            return False
+        return CONTEXT.search(t) is not None
 
     return test
 

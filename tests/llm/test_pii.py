@@ -53,3 +53,69 @@ def test_frames(spark):
     c = spark.createDataFrame(rows, "id long, text string, command string, value int")
     assert sorted(tuple(r) for r in pii.mentions(c, LEX).collect()) == [(1, "command", "EMAIL", "c@d.example"), (1, "text", "EMAIL", "a@b.example")]
     assert pii.mentions(c.where("false"), LEX).count() == 0 and pii.redacted(c, pii.Lexicon.of([])).count() == 4
+
+
+@pytest.mark.parametrize("text,want", [
+    ("at 221B Baker Street, London it is", [("ADDRESS", "221B Baker Street, London")]), ("ops-desk ( at ) example ( dot ) org", [("EMAIL", "ops-desk ( at ) example ( dot ) org")]),
+    ("jo [ at ] lumen [ dot ] example", [("EMAIL", "jo [ at ] lumen [ dot ] example")]), ("Personalausweis: L01X00T471", [("ID_NUMBER", "L01X00T471")]), ("pour Mme Ysolde Quarrier ce soir", [("NAME", "Ysolde Quarrier")]),
+    ("ask Mr Quirin Vossberger", [("NAME", "Quirin Vossberger")]), ("ask Dr Quirin Vossberger", [("NAME", "Quirin Vossberger")]), ("Ansprechpartner: Quirin Vossberger", [("NAME", "Quirin Vossberger")]),
+    ('echo "Quirin Vossberger"', [("NAME", "Quirin Vossberger")]), ("pay GB63ABCDEFGHIJKLMNOPQR", None), ("+4(4)2(0)7(9)4(6)0", None), ("took 12 ms per request, 5ms total time", [])])
+def test_no_text_leaves_the_pass_unseen(spark, text, want):
+    """Texts of which detect() has something to say, but the words of the trigger once had not."""
+    lex = pii.Lexicon.of([("Tamsin", "given")])
+    got = {(k, text[a:b]) for a, b, k in pii.detect(text, lex)}
+    assert want is None or got == set(want)
+    assert pii.trigger(lex)(text) or not got
+    if want:
+        c = spark.createDataFrame([(1, text, None)], "id long, text string, command string")
+        assert {(r.pii_type, r.value) for r in pii.mentions(c, lex).collect()} == got and want[0][1] not in pii.redacted(c, lex).first().text
+
+
+def _example(parsed, rng, groups):
+    """A random text that the parsed expression describes; assertions are left out."""
+    out = ""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "IN" and str(arg[0][0]) == "NEGATE" or op in ("NOT_LITERAL", "ANY"):
+            out += rng.choice("xQé山")
+        elif op == "IN":
+            k, v = rng.choice(arg)
+            out += chr(v) if str(k) == "LITERAL" else chr(rng.randint(*v)) if str(k) == "RANGE" else {"CATEGORY_DIGIT": "7", "CATEGORY_SPACE": rng.choice(" \n"), "CATEGORY_NOT_WORD": " ", "CATEGORY_WORD": rng.choice("aZé5")}[str(v)]
+        elif op == "BRANCH":
+            out += _example(rng.choice(arg[1]), rng, groups)
+        elif op == "SUBPATTERN":
+            groups[arg[0]] = _example(arg[3], rng, groups)
+            out += groups[arg[0]]
+        elif op == "GROUPREF":
+            out += groups[arg]
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(_example(arg[2], rng, groups) for _ in range(rng.randint(arg[0], min(int(arg[1]), arg[0] + 3))))
+    return out
+
+
+def test_trigger_holds_wherever_something_is_found():
+    import random
+    import re
+
+    rng = random.Random(11)
+    lex = pii.Lexicon.of([("Tamsin", "given"), ("Erlenbach", "family"), ("朝霞原", "family"), ("澪香", "given")])
+    test, found = pii.trigger(lex), 0
+    parse = lambda rx: re._parser.parse(rx.pattern, rx.flags & ~re.UNICODE)
+    shapes = [parse(rx) for rx in (pii.EMAIL, pii.EMAIL_SPELT, pii.ADDRESS_EN, pii.ADDRESS_DE, pii.ADDRESS_FR, pii.ADDRESS_JA, *pii.PHONES, *(rx for rx, _, _ in pii.IDS))]
+    left, weak, right, ids = (parse(rx) for rx in (pii.STRONG_LEFT, pii.WEAK_LEFT, pii.RIGHT, pii.ID_CONTEXT))
+    names = ["Quirin Vossberger", "Vossberger, Quirin", "Q. Vossberger", "Quirin K. Vossberger", "QUIRIN VOSSBERGER", "quirin vossberger", "Jean-Luc d’Arbo", "山田中原", "山田 太郎", "tamsin vossberger", "Tamsin Erlenbach", "朝霞原澪香"]
+    some = lambda p: _example(p, rng, {})
+    case = lambda v: rng.choice((v, v, v.upper(), v.title(), v.replace("s", "ſ").replace("i", "İ")))
+    for _ in range(15_000):
+        kind = rng.random()
+        if kind < 0.5:
+            text = rng.choice(("", case(some(ids)))) + some(rng.choice(shapes)) + rng.choice(("", " London", ", Greywick", ";"))
+        else:
+            text = rng.choice(("", case(some(left)), case(some(weak)))) + rng.choice(("", "", "\n")) + rng.choice(names) + rng.choice(("", some(right)))
+        text = rng.choice(("", "x ", "go")) + text + rng.choice(("", " x", "."))
+        if pii.detect(text, lex):
+            found += 1
+            assert test(text), text
+    assert found > 5000
