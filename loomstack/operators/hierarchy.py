@@ -238,20 +238,39 @@ def ancestors(t: DataFrame, of: DataFrame) -> DataFrame:
     return q.join(a.where("descendants > 0"), ["scope_id", "root_nid"]).where("e0 < entry and exit < x0").select("scope_id", "nid", "ancestor_nid", "ancestor", "level")
 
 
+NAMED = pa.schema([("scope_id", pa.int64()), ("nid", pa.int64()), ("pid", pa.int64()), ("node", pa.string())])
+
+
 def paths(t: DataFrame, sep: str = "/") -> DataFrame:
     """(scope_id, nid, path): names from the root down to each node that is not on a loop or below one.
 
-    Joining ancestors by interval would meet all pairs of a tree before it filters. Names are put together by doubling instead: after k rounds
-    a node knows the last 2^k names of its path, so the rounds are the logarithm of the greatest depth.
+    Joining ancestors by interval would meet all pairs of a tree before it filters. Names are put together inside the blocks of the ranking
+    first; where a path leaves its block, the parts are put together by doubling, which takes the logarithm of the most parts as rounds.
     """
-    state = written(t.where("depth >= 0").select("scope_id", "nid", F.col("pid").alias("up"), F.col("node").alias("path"), "depth"), "paths")
-    deepest = state.agg(F.max("depth")).first()[0] or 0
-    for _ in range(int(deepest).bit_length()):
-        above = state.select("scope_id", F.col("nid").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
-        ready, rest = state.where("up is null"), state.where("up is not null")
-        rest = rest.join(above, ["scope_id", "up"]).select("scope_id", "nid", F.col("_up").alias("up"), F.concat_ws(sep, "_path", "path").alias("path"), "depth")
-        state = written(ready.select(*rest.columns).unionByName(rest), "paths")
-    return state.select("scope_id", "nid", "path")
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = pa.Table.from_batches(batches, NAMED)  # one block, bounded by BLOCK_NODES
+        scopes, nids, pids, names = (b[n].to_pylist() for n in NAMED.names)
+        at = {n: k for k, n in enumerate(nids)}
+        for i in range(0, len(nids), 10_000):
+            ups, found = [], []
+            for k in range(i, min(i + 10_000, len(nids))):
+                parts, up = [names[k]], pids[k]
+                while up is not None and (above := at.get(up)) is not None:
+                    parts.append(names[above])
+                    up = pids[above]
+                ups.append(up)
+                found.append(sep.join(reversed(parts)))
+            yield pa.RecordBatch.from_arrays([pa.array(scopes[i:i + 10_000], pa.int64()), pa.array(nids[i:i + 10_000], pa.int64()), pa.array(ups, pa.int64()), pa.array(found, pa.string())], ["scope_id", "nid", "up", "path"])
+
+    nodes = t.where("depth >= 0").select("scope_id", "nid", "pid", "node")
+    blocks = max(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-4 * t.count() // BLOCK_NODES))
+    state = written(nodes.repartition(blocks, "scope_id", F.floor(F.col("nid") / BLOCK_NODES)).mapInArrow(within, "scope_id long, nid long, up long, path string"), "paths")
+    done, live = state.where("up is null"), state.where("up is not null")
+    while not live.isEmpty():
+        above = done.unionByName(live).select("scope_id", F.col("nid").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+        step = written(live.join(above, ["scope_id", "up"]).select("scope_id", "nid", F.col("_up").alias("up"), F.concat_ws(sep, "_path", "path").alias("path")), "paths")
+        done, live = done.unionByName(step.where("up is null")), step.where("up is not null")
+    return done.select("scope_id", "nid", "path")
 
 
 def all_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,13 @@ def p4_session_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(path, ["scope_id", "nid"]).select("node", "root", "depth", "descendants", "path")
 
 
+def p4_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path, depth, root and number of descendants of every event and session; on or below a loop '', -1, '' and null."""
+    t = written(hierarchy.tours(hierarchy.all_links(spark, sf_dir)), "tours")
+    scope = F.when(F.col("scope_id") == hierarchy.SESSIONS, 0).otherwise(F.col("scope_id")).cast("long")
+    return t.join(hierarchy.paths(t, ">"), ["scope_id", "nid"], "left").select(scope.alias("scope_id"), "node", "root", "depth", "descendants", F.coalesce("path", F.lit("")).alias("path"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.surplus(table(spark, sf_dir, "session_events", "id", "session_id", "part_ordinal", "native_event_id"))
 
@@ -57,7 +64,7 @@ def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("delivered"), (F.count("*") - F.count("gone")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_plan, p2_found, p2_local_matches, p4_found, p4_session_paths, p7_found, p7_kept)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_plan, p2_found, p2_local_matches, p4_found, p4_session_paths, p4_paths, p7_found, p7_kept)}
 
 _TRIM = r"regexp_replace({0}, '^[\s\x1c-\x1f\x{{85}}\p{{Z}}]+|[\s\x1c-\x1f\x{{85}}\p{{Z}}]+$', '', 'g')"
 
@@ -103,6 +110,8 @@ SQL = {
     "p4_found": _P4 + "select e.scope_id, e.node, coalesce(w.root, '') as root, coalesce(w.depth, -1) as depth from edges e left join walk w on w.scope_id = e.scope_id and w.node = e.node where e.parent is not null",
     "p4_session_paths": _P4S + """, sub as (select w.node, count(*) - 1 as descendants from walk w join walk d on d.path = w.path or starts_with(d.path, w.path || '>') group by 1)
 select w.node, w.root, w.depth, s.descendants, w.path from walk w join sub s on s.node = w.node""",
+    "p4_paths": _P4 + """, sub as (select w.scope_id, w.node, count(*) - 1 as descendants from walk w join walk d on d.scope_id = w.scope_id and d.root = w.root and (d.path = w.path or starts_with(d.path, w.path || '>')) group by 1, 2)
+select e.scope_id, e.node, coalesce(w.root, '') as root, coalesce(w.depth, -1) as depth, s.descendants, coalesce(w.path, '') as path from edges e left join walk w on w.scope_id = e.scope_id and w.node = e.node left join sub s on s.scope_id = e.scope_id and s.node = e.node""",
     "p7_found": f"select id as event_id from (select {_P7_KEY} from session_events where {_TRIM.format('native_event_id')} <> '') qualify row_number() over (partition by session_id, part_ordinal, k order by id) > 1",
     "p7_kept": f"select session_id, count(*) as delivered, count(*) filter (where coalesce(k, '') = '' or r = 1) as kept from (select session_id, k, row_number() over (partition by session_id, part_ordinal, k order by id) as r from (select {_P7_KEY} from session_events)) group by 1",
 }

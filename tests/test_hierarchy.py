@@ -75,3 +75,30 @@ def test_session_parent_by_uid_or_native_id(spark):
     s = spark.createDataFrame([(1, "pi:A", "pi", "A", ""), (2, "pi:b", "pi", "b", " a "), (3, "cx:c", "cx", "c", "PI:a"), (4, "cx:d", "cx", "d", "a"), (5, "cx:e", None, None, None)],
                               "id long, session_uid string, agent string, native_id string, parent_session_id string")
     assert {(r.node, r.parent) for r in H.session_links(s).collect()} == {("pi:a", ""), ("pi:b", "pi:a"), ("cx:c", "pi:a"), ("cx:d", ""), ("cx:e", "")}
+
+
+def test_paths_of_events_and_sessions(spark, sf):
+    import duckdb
+
+    from loomstack.plans import training
+
+    con = duckdb.connect()
+    for name in ("session_events", "sessions"):
+        con.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
+    got = sorted(tuple(r) for r in training.QUERIES["p4_paths"](spark, sf).collect())
+    assert len({r[0] for r in got}) > 1 and any(r[5].count(">") > 1 for r in got if r[0])
+    assert got == sorted(con.execute(training.SQL["p4_paths"]).fetchall())
+
+
+def test_paths_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(H, "BLOCK_NODES", 7)
+    rng = random.Random(8)
+    links = [(s, f"n{s}.{i}", 1000 * s + i, f"n{s}.{rng.randrange(max(0, i - 3), i)}" if i else "") for s in (1, 2) for i in range(80)]
+    parent = {n: p for _, n, _, p in links}
+    want = {}
+    for _, n, nid, _ in links:
+        parts = [n]
+        while parent[parts[0]]:
+            parts.insert(0, parent[parts[0]])
+        want[nid] = ">".join(parts)
+    assert {r.nid: r.path for r in H.paths(H.tours(spark.createDataFrame(links, LINKS)), ">").collect()} == want
