@@ -1,21 +1,25 @@
 """Problem 1: read only what is new, exactly once, whatever fails on the way.
 
-Log-based change capture: every log is a partition of the change stream with its own offset (bytes and lines read, and the
+Log-based change capture: every log is a partition of the change stream with its own offset (generation, bytes and lines read, and the
 SHA-256 of exactly those bytes). A run
 
-1. ``plan_batch`` compares the offsets with the lines now there and lists the rows to read,
-2. writes that plan to the shared folder *before* any row reaches the sink (write-ahead); a run that finds an uncommitted plan
-   replays it as it stands instead of planning anew,
-3. hands the planned rows to the sink, which deduplicates by (log, generation, ordinal), so a replay adds nothing twice,
-4. commits by writing the new offsets next to the plan.
+1. compares the offsets with the lines now there and writes a *plan* to the shared folder before any row reaches the sink: the rows to
+   read themselves, and the offsets that hold once they are read. A run that finds a plan without commit replays it as it stands,
+2. hands the planned rows to the sink, which deduplicates by (log, generation, ordinal), so a replay adds nothing twice,
+3. commits by marking the plan's offsets as the current ones.
 
-The prefix hash cannot be combined from parts (SHA-256 is a chain), so it is computed by streaming: rows are partitioned by log
-and sorted by ordinal inside the partition, and one pass over Arrow batches keeps one running hash. Memory is one batch, whatever
-the length of a log; a log that holds a third of all rows takes one task's time at hash speed but is never held anywhere.
+As the plan holds rows and offsets, a replay never looks at the logs again: whatever happens to them between failure and replay (appends,
+rewrites with the same or other record ids, truncation, removal) is seen by the next run, which compares with the offsets that belong to the
+rows in the sink. The price is that planned rows are written twice, once ahead and once into the sink.
+
+The hash cannot be combined from parts (SHA-256 is a chain), so it is computed by streaming: rows are partitioned by log and sorted by
+ordinal, the log's offset leading its lines, and one pass over Arrow batches keeps one running hash. The same pass compares the prefix and
+goes on to the hash of all complete lines, which is the next offset's. Memory is one batch, whatever the length of a log; a log that
+holds a third of all rows takes one task's time at hash speed (some 300 MB a second) but is never held anywhere.
 
 Defined results: a log without offset is read whole; null lines count as empty; an unterminated last line is never read; rows
-of logs that are gone yield nothing; null or negative cursors count as 0; with an empty table on either side the result is all
-terminated rows, or none.
+of logs that are gone or without a name yield nothing; null or negative cursors count as 0; rows that repeat an ordinal of their log count once
+(the lowest record id); with an empty table on either side the result is all terminated rows, or none.
 """
 
 from __future__ import annotations
@@ -27,9 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstack.runtime import hadoop_fs, table
+from loomstack.runtime import hadoop_fs, scratch, table
 
 LINE_COLUMNS = ("record_id", "logical_id", "record_ordinal", "byte_offset", "terminated", "line")
+OFFSETS = "logical_id string, generation long, cursor_offset long, cursor_ordinal long, content_hash string"
+_STATE = pa.schema([("logical_id", pa.string()), ("same", pa.bool_()), ("generation", pa.int64()), ("read_to", pa.int64()), ("cursor_offset", pa.int64()), ("cursor_ordinal", pa.int64()), ("content_hash", pa.string())])
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,152 +43,172 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "codex", *LINE_COLUMNS).unionByName(table(spark, sf_dir, "pi", *LINE_COLUMNS))
 
 
-def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row (log, unchanged) for each log of the sorted partition, from a running hash over its bytes before the cursor."""
-    log, digest, wanted, left = None, None, None, 0
+def source_offsets(sources: DataFrame) -> DataFrame:
+    """OFFSETS from the store's view of its logs; of several rows of a log the furthest counts."""
+    return sources.where("logical_id is not null").groupBy("logical_id").agg(
+        F.max_by(F.struct("cursor_offset", "cursor_ordinal", "content_hash"), F.struct("cursor_offset", "id")).alias("s")
+    ).select("logical_id", F.lit(0).cast("long").alias("generation"), F.col("s.cursor_offset").cast("long").alias("cursor_offset"), F.col("s.cursor_ordinal").cast("long").alias("cursor_ordinal"), "s.content_hash")
+
+
+class _Log:
+    """The running hash of one log."""
+
+    def __init__(self, name: str | None):
+        self.name, self.known, self.generation, self.cursor, self.read_to, self.wanted = name, False, 0, 0, 0, None
+        self.digest, self.seen, self.same, self.ordinal = hashlib.sha256(), 0, None, None
+        self.end, self.last, self.complete = 0, 0, None  # bytes, lines and hash up to the last complete line; no hash if that is all
+
+    def offset(self, generation: int | None, cursor: int | None, ordinal: int | None, wanted: str | None) -> None:
+        self.known, self.generation = True, generation or 0
+        self.cursor, self.read_to, self.wanted = max(cursor or 0, 0), max(ordinal or 0, 0), (wanted or "").lower()
+
+    def line(self, ordinal: int, text: str | None, ended: bool) -> None:
+        if ordinal == self.ordinal:
+            return
+        self.ordinal = ordinal
+        data = (text or "").encode() + (b"\n" if ended else b"")
+        if self.same is None and self.known and self.seen + len(data) >= self.cursor:
+            head = self.digest.copy()
+            head.update(data[:self.cursor - self.seen])
+            self.same = head.hexdigest() == self.wanted
+        if ended:
+            self.end, self.last, self.complete = self.seen + len(data), ordinal, None
+        elif self.complete is None:
+            self.complete = self.digest.copy()
+        self.seen += len(data)
+        self.digest.update(data)
+
+    def row(self) -> tuple:
+        """State of the log: a new generation starts where the bytes read are no longer there."""
+        if self.same is None:  # shorter than what was read, or without lines
+            self.same = self.known and self.digest.hexdigest() == self.wanted and self.seen == self.cursor
+        keep = self.known and self.same
+        return (self.name, keep, self.generation + (self.known and not keep), self.read_to if keep else 0, self.end, self.last, (self.complete or self.digest).hexdigest())
+
+
+def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each log that has lines, from one running hash over its sorted rows; an offset leads them with a null ``terminated``."""
+    log: _Log | None = None
     for batch in batches:
-        out_log, out_same = [], []
-        cols = [batch.column(n).to_pylist() for n in ("logical_id", "line", "terminated", "cursor_offset", "content_hash")]
-        for at, line, ended, cursor, expected in zip(*cols):
-            if digest is None or at != log:
-                if digest is not None:
-                    out_log.append(log)
-                    out_same.append(digest.hexdigest() == wanted)
-                log, digest, wanted, left = at, hashlib.sha256(), expected, cursor
-            if left > 0:
-                data = (line or "").encode() + (b"\n" if ended else b"")
-                digest.update(data[:left])
-                left -= min(left, len(data))
-        yield pa.RecordBatch.from_arrays([pa.array(out_log, pa.string()), pa.array(out_same, pa.bool_())], ["logical_id", "same"])
-    if digest is not None:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([log], pa.string()), pa.array([digest.hexdigest() == wanted], pa.bool_())], ["logical_id", "same"]
-        )
-
-
-def plan_batch(lines: DataFrame, offsets: DataFrame) -> DataFrame:
-    """Rows to read next: (record_id, logical_id, record_ordinal, generation).
-
-    ``generation`` is 'append' or 'rebuild'; a rebuild replaces what the sink holds of that log.
+        done = []
+        names, ordinals, ended, texts = (batch.column(n).to_pylist() for n in ("logical_id", "record_ordinal", "terminated", "line"))
+        marks = [batch.column(n).to_pylist() for n in ("generation", "cursor_offset", "cursor_ordinal", "content_hash")]
+        for i, name in enumerate(names):
+            if log is None or name != log.name:
+                if log is not None and log.ordinal is not None:
+                    done.append(log.row())
+                log = _Log(name)
+            if ended[i] is None:
+                log.offset(*(m[i] for m in marks))
+                continue
+            log.line(ordinals[i], texts[i], ended[i])
+        yield pa.RecordBatch.from_pylist([dict(zip(_STATE.names, r)) for r in done], schema=_STATE)
+    if log is not None and log.ordinal is not None:
+        yield pa.RecordBatch.from_pylist([dict(zip(_STATE.names, log.row()))], schema=_STATE)
+
+
+def log_states(lines: DataFrame, offsets: DataFrame) -> DataFrame:
+    """(logical_id, same, generation, read_to, cursor_offset, cursor_ordinal, content_hash) of every log that has lines.
+
+    ``same`` tells whether the bytes before the stored cursor are still those that were read, ``read_to`` the ordinal beyond which rows
+    are new; the rest is the offset after all complete lines are read.
     """
-    known = offsets.groupBy("logical_id").agg(  # one row per log, the furthest state first
-        F.max_by(F.struct("cursor_offset", "cursor_ordinal", "content_hash"), F.struct("cursor_offset", "id")).alias("s")
-    ).select(
-        "logical_id",
-        F.greatest(F.coalesce("s.cursor_offset", F.lit(0)), F.lit(0)).cast("long").alias("cursor_offset"),
-        F.greatest(F.coalesce("s.cursor_ordinal", F.lit(0)), F.lit(0)).cast("long").alias("cursor_ordinal"),
-        F.lower(F.col("s.content_hash")).alias("content_hash"),
-    )
-    read_part = (
-        lines.select("logical_id", "record_ordinal", "byte_offset", "terminated", "line")
-        .join(known, "logical_id")
-        .where(F.col("byte_offset") < F.col("cursor_offset"))
-        .select("logical_id", "record_ordinal", "line", "terminated", "cursor_offset", "content_hash")
-    )
-    hashed = (
-        read_part.repartition("logical_id")
-        .sortWithinPartitions("logical_id", "record_ordinal")
-        .mapInArrow(_verdicts, "logical_id string, same boolean")
-    )
-    empty = hashlib.sha256(b"").hexdigest()
-    state = known.join(hashed, "logical_id", "left").select(
-        "logical_id", "cursor_ordinal", F.coalesce("same", F.col("content_hash") == empty, F.lit(False)).alias("same"),
-    )
-    return (
-        lines.where("terminated").select("record_id", "logical_id", "record_ordinal")
-        .join(state, "logical_id", "left")
-        .where(F.col("same").isNull() | ~F.col("same") | (F.col("record_ordinal") > F.col("cursor_ordinal")))
-        .select("record_id", "logical_id", "record_ordinal",
-                F.when(F.col("same"), "append").otherwise("rebuild").alias("generation"))
-    )
-
-
-def log_digests(lines: DataFrame) -> DataFrame:
-    """(logical_id, content_hash): SHA-256 of the complete lines of every log, streamed."""
-    complete = lines.where("terminated and logical_id is not null").select("logical_id", "record_ordinal", "line")
-    return complete.repartition("logical_id").sortWithinPartitions("logical_id", "record_ordinal").mapInArrow(_digests, "logical_id string, content_hash string")
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = lines.where("logical_id is not null").select(
+        "logical_id", F.coalesce("record_ordinal", F.lit(0)).cast("long").alias("record_ordinal"), F.coalesce("terminated", F.lit(False)).alias("terminated"), "line",
+        *[null(k).alias(n) for n, k in (("generation", "long"), ("cursor_offset", "long"), ("cursor_ordinal", "long"), ("content_hash", "string"))])
+    marks = offsets.where("logical_id is not null").select(
+        "logical_id", F.lit(-(2**62)).cast("long").alias("record_ordinal"), null("boolean").alias("terminated"), null("string").alias("line"), "generation", "cursor_offset", "cursor_ordinal", "content_hash")
+    kinds = "logical_id string, same boolean, generation long, read_to long, cursor_offset long, cursor_ordinal long, content_hash string"
+    return rows.unionByName(marks).repartition("logical_id").sortWithinPartitions("logical_id", "record_ordinal").mapInArrow(_states, kinds)
 
 
-def next_offsets(lines: DataFrame, plan: DataFrame, offsets: DataFrame, batch_id: int) -> DataFrame:
-    """Offsets after the planned rows are in the sink; logs without planned rows keep theirs."""
-    moved = lines.where("terminated").join(plan.select("logical_id").distinct(), "logical_id", "left_semi").select(
-        "logical_id", "record_ordinal", "line", "terminated",
-        (F.col("byte_offset") + F.octet_length(F.coalesce("line", F.lit(""))) + 1).alias("end"),
-    )
-    ends = moved.groupBy("logical_id").agg(F.max("end").alias("cursor_offset"), F.max("record_ordinal").alias("cursor_ordinal"))
-    digests = log_digests(moved)
-    new = ends.join(digests, "logical_id").withColumn("id", F.lit(batch_id).cast("long"))
-    kept = offsets.select("id", "logical_id", "cursor_offset", "cursor_ordinal", "content_hash").join(new.select("logical_id"), "logical_id", "left_anti")
-    return kept.unionByName(new.select("id", "logical_id", "cursor_offset", "cursor_ordinal", "content_hash"))
+def planned(lines: DataFrame, states: DataFrame) -> DataFrame:
+    """The rows to read next: LINE_COLUMNS as far as there are, ``generation`` and ``mode`` ('append' or 'rebuild').
 
+    A rebuild replaces what the sink holds of that log, an append adds to it.
+    """
+    s = states.select("logical_id", "same", "generation", "read_to")
+    rows = lines.select(*[c for c in LINE_COLUMNS if c in lines.columns]).where("terminated and logical_id is not null").join(s, "logical_id")
+    return rows.where(F.coalesce("record_ordinal", F.lit(0)) > F.when(F.col("same"), F.col("read_to")).otherwise(F.lit(-(2**62)))).withColumn(
+        "mode", F.when(F.col("same"), "append").otherwise("rebuild")).drop("same", "read_to")
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    log, digest = None, None
-
-    def rows(pairs):
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (zip(*pairs) if pairs else ([], []))], ["logical_id", "content_hash"])
 
-    for batch in batches:
-        done = []
-        for at, line in zip(batch.column("logical_id").to_pylist(), batch.column("line").to_pylist()):
-            if digest is None or at != log:
-                if digest is not None:
-                    done.append((log, digest.hexdigest()))
-                log, digest = at, hashlib.sha256()
-            digest.update((line or "").encode() + b"\n")
-        yield rows(done)
-    if digest is not None:
-        yield rows([(log, digest.hexdigest())])
+def log_digests(lines: DataFrame) -> DataFrame:
+    """(logical_id, content_hash): SHA-256 of the complete lines of every log that has any, streamed."""
+    none = lines.sparkSession.createDataFrame([], OFFSETS)
+    return log_states(lines.where("terminated"), none).select("logical_id", "content_hash")
 
 
 class IncrementalSync:
-    """Runs batches over a state folder: ``plans/N`` is the write-ahead plan, ``offsets/N`` the commit, ``sink/N`` the rows.
+    """Runs batches over a state folder: ``plans/N`` the write-ahead plan (``rows``, ``offsets``), ``sink/N`` the rows, ``commits/N`` the mark.
 
-    ``offsets/N`` exists only after ``sink/N`` is complete. A run that dies leaves a plan without commit; the next run replays
-    that plan, overwrites ``sink/N`` and commits. Reading the sink keeps one row per (log, ordinal) of the last rebuild.
+    A plan counts once its own mark is written, a batch once it is committed. A run that dies leaves a plan without commit; the next run
+    replays that plan, overwrites ``sink/N`` and commits. The offsets of a plan are those of all logs, so a commit is a mark and no merge.
     """
 
     def __init__(self, spark: SparkSession, state: str):
         self.spark, self.state = spark, state.rstrip("/")
 
-    def _done(self, kind: str) -> list[int]:
-        fs, at = hadoop_fs(self.spark, f"{self.state}/{kind}")
-        if not fs.exists(at):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(at)]
-        ok = [n for n in names if fs.exists(hadoop_fs(self.spark, f"{self.state}/{kind}/{n}/_SUCCESS")[1])]
-        return sorted(int(n) for n in ok if n.isdigit())
+    def _path(self, *parts: str | int) -> str:
+        return "/".join([self.state, *map(str, parts)])
+
+    def _marked(self, kind: str) -> list[int]:
+        fs, at = hadoop_fs(self.spark, self._path(kind))
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(int(n.removesuffix(".done")) for n in names if n.endswith(".done"))
+
+    def _mark(self, kind: str, batch: int) -> None:
+        fs, at = hadoop_fs(self.spark, self._path(kind, f"{batch}.done"))
+        fs.create(at, True).close()
+
+    def offsets(self, batch: int) -> DataFrame:
+        """The offsets after a batch."""
+        return self.spark.read.schema(OFFSETS).parquet(self._path("plans", batch, "offsets"))
+
+    def _plan(self, batch: int, lines: DataFrame, offsets: DataFrame) -> None:
+        states = log_states(lines, offsets)
+        states.write.mode("overwrite").parquet(self._path("plans", batch, "states"))
+        states = self.spark.read.schema(states.schema).parquet(self._path("plans", batch, "states"))
+        planned(lines, states).withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(self._path("plans", batch, "rows"))
+        # A log that is gone keeps its offset: should it come back unchanged, nothing of it is read again.
+        moved = states.select("logical_id", "generation", "cursor_offset", "cursor_ordinal", "content_hash")
+        kept = offsets.select("logical_id", "generation", "cursor_offset", "cursor_ordinal", "content_hash").join(moved.select("logical_id"), "logical_id", "left_anti")
+        moved.unionByName(kept).write.mode("overwrite").parquet(self._path("plans", batch, "offsets"))
+        self._mark("plans", batch)
 
     def run(self, lines: DataFrame, initial_offsets: DataFrame | None = None, fail_after: str | None = None) -> int:
         """One sync; returns its batch number. ``fail_after`` ('plan' or 'sink') stops there, for tests."""
-        commits, plans = self._done("offsets"), self._done("plans")
+        commits, plans = self._marked("commits"), self._marked("plans")
         batch = (commits[-1] if commits else 0) + 1
-        empty = self.spark.createDataFrame([], "id long, logical_id string, cursor_offset long, cursor_ordinal long, content_hash string")
-        offsets = self.spark.read.parquet(f"{self.state}/offsets/{commits[-1]}") if commits else (initial_offsets if initial_offsets is not None else empty)
         if batch not in plans:
-            plan_batch(lines, offsets).write.mode("overwrite").parquet(f"{self.state}/plans/{batch}")
+            first = initial_offsets if initial_offsets is not None else self.spark.createDataFrame([], OFFSETS)
+            self._plan(batch, lines, self.offsets(commits[-1]) if commits else first)
         if fail_after == "plan":
             raise RuntimeError("stopped after the plan was written")
-        plan = self.spark.read.parquet(f"{self.state}/plans/{batch}")
-        rows = lines.join(plan.select("record_id", "generation"), "record_id").withColumn("batch", F.lit(batch))
-        rows.write.mode("overwrite").parquet(f"{self.state}/sink/{batch}")
+        self.spark.read.parquet(self._path("plans", batch, "rows")).write.mode("overwrite").parquet(self._path("sink", batch))
         if fail_after == "sink":
             raise RuntimeError("stopped before the commit")
-        seen = rows_upto(lines, plan)
-        next_offsets(seen, plan, offsets, batch).write.mode("overwrite").parquet(f"{self.state}/offsets/{batch}")
+        self._mark("commits", batch)
         return batch
 
+    def batch(self, number: int) -> DataFrame:
+        """The rows that one committed batch brought, one for each (log, generation, ordinal)."""
+        rows = self.spark.read.parquet(self._path("sink", number))
+        first = rows.groupBy("logical_id", "generation", "record_ordinal").agg(F.min("record_id").alias("record_id")).select("record_id")
+        return rows.join(first, "record_id", "left_semi")
+
     def sink(self) -> DataFrame:
-        """What a reader of the sink sees: committed batches, the last rebuild of a log hiding what it held before."""
-        batches = self._done("offsets")
-        rows = self.spark.read.parquet(*[f"{self.state}/sink/{b}" for b in batches])
-        last = rows.where("generation = 'rebuild'").groupBy("logical_id").agg(F.max("batch").alias("since"))
-        keep = rows.join(last, "logical_id", "left").where(F.col("since").isNull() | (F.col("batch") >= F.col("since"))).drop("since")
-        first = keep.groupBy("logical_id", "record_ordinal").agg(F.min("batch").alias("batch"))
-        return keep.join(first, ["logical_id", "record_ordinal", "batch"], "left_semi")
-
-
-def rows_upto(lines: DataFrame, plan: DataFrame) -> DataFrame:
-    """Lines up to the last planned ordinal of each planned log: appends that came after the plan wait for the next run."""
-    upto = plan.groupBy("logical_id").agg(F.max("record_ordinal").alias("upto"))
-    return lines.join(upto, "logical_id").where(F.col("record_ordinal") <= F.col("upto")).drop("upto")
+        """What a reader of the sink sees: the current generation of each log, one row per ordinal (the earliest batch's)."""
+        done = self._marked("commits")
+        rows = self.spark.read.parquet(*[self._path("sink", b) for b in done])
+        now = self.offsets(done[-1]).select("logical_id", "generation")
+        keep = rows.join(now, ["logical_id", "generation"], "left_semi")
+        first = keep.groupBy("logical_id", "record_ordinal").agg(F.min(F.struct("batch", "record_id")).alias("s")).select("logical_id", "record_ordinal", "s.batch", "s.record_id")
+        return keep.join(first, ["logical_id", "record_ordinal", "batch", "record_id"], "left_semi")
+
+
+def new_rows(lines: DataFrame, sources: DataFrame) -> DataFrame:
+    """The rows that a sync from the offsets of ``sources`` brings into an empty sink: plan, sink and commit in the shared folder."""
+    sync = IncrementalSync(lines.sparkSession, scratch(lines.sparkSession, "sync"))
+    return sync.batch(sync.run(lines, source_offsets(sources)))

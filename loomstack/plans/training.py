@@ -11,15 +11,16 @@ from loomstack.runtime import table, written
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = table(spark, sf_dir, "sources", "id", "logical_id", "cursor_offset", "cursor_ordinal", "content_hash")
-    return incremental.plan_batch(incremental.log_lines(spark, sf_dir), sources).select("record_id")
+    return incremental.new_rows(incremental.log_lines(spark, sf_dir), sources).select("record_id")
 
 
 def p1_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and logs that the next batch reads, by kind of reading."""
     sources = table(spark, sf_dir, "sources", "id", "logical_id", "cursor_offset", "cursor_ordinal", "content_hash")
-    plan = incremental.plan_batch(incremental.log_lines(spark, sf_dir), sources)
-    logs = plan.groupBy("generation", "logical_id").agg(F.count("*").alias("n"))
-    return logs.groupBy("generation").agg(F.sum("n").alias("rows_to_read"), F.count("*").alias("logs"))
+    lines = incremental.log_lines(spark, sf_dir)
+    plan = incremental.planned(lines.drop("line"), incremental.log_states(lines, incremental.source_offsets(sources)))
+    logs = plan.groupBy("mode", "logical_id").agg(F.count("*").alias("n"))
+    return logs.groupBy(F.col("mode").alias("generation")).agg(F.sum("n").alias("rows_to_read"), F.count("*").alias("logs"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,12 +54,12 @@ def p4_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.surplus(table(spark, sf_dir, "session_events", "id", "session_id", "part_ordinal", "native_event_id"))
+    return dedup.surplus(table(spark, sf_dir, "session_events", "id", "session_id", "part_ordinal", "native_event_id", "source_id"))
 
 
 def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per session before and after."""
-    e = table(spark, sf_dir, "session_events", "id", "session_id", "part_ordinal", "native_event_id")
+    e = table(spark, sf_dir, "session_events", "id", "session_id", "part_ordinal", "native_event_id", "source_id")
     s = dedup.surplus(e).withColumnRenamed("event_id", "id").withColumn("gone", F.lit(1))
     return e.join(s, "id", "left").groupBy("session_id").agg(
         F.count("*").alias("delivered"), (F.count("*") - F.count("gone")).alias("kept"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+#: Paths of written tables that are not removed yet.
+_made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -31,13 +34,16 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) is a folder of our own created, and removed at exit.
+    Only where the session names none and runs on one machine (tests) is a folder of our own created, and removed at exit. On a
+    cluster without the setting this is an error: a folder of one machine would hold tables that the others cannot read.
     """
     global _own_dir
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="loomstack-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -46,8 +52,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path for a written table in the shared folder."""
-    return f"{shared_dir(spark)}/loomstack/{label}-{uuid.uuid4().hex}"
+    """A fresh path for a written table in the shared folder; ``release`` removes it."""
+    path = f"{shared_dir(spark)}/loomstack/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the written tables of this process, once no result that reads them is needed any more; returns their number."""
+    n = len(_made)
+    while _made:
+        fs, at = hadoop_fs(spark, _made.pop())
+        fs.delete(at, True)
+    return n
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
