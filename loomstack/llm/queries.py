@@ -70,11 +70,11 @@ _P6 = rf"""
 with keyed as (select *, lower(regexp_replace(native_event_id, '^{_WS}+|{_WS}+$', '', 'g')) as k from session_events),
 uniq as (select * from keyed qualify coalesce(k, '') = '' or row_number() over (partition by session_id, part_ordinal, k order by id) = 1),
 kept as (select * from uniq where kind in ('message', 'user_correction')),
-parts as (select e.session_id, coalesce(e.record_ordinal, -1) as record_ordinal, coalesce(e.part_ordinal, -1) as o, e.id, c.text,
+parts as (select e.session_id, coalesce(e.record_ordinal, -1) as record_ordinal, case when e.record_ordinal is null then e.id end as lone, coalesce(e.part_ordinal, -1) as o, e.id, c.text,
   coalesce(lower(regexp_replace(e.role, '^{_WS}+|{_WS}+$', '', 'g')), '') as r0 from kept e join event_contents c on c.id = e.content_id where regexp_replace(c.text, '{_WS}+', '', 'g') <> ''),
 named as (select *, case when r0 in ('toolresult', 'tool_result') then 'tool' when r0 in ('user', 'assistant', 'tool', 'system') then r0 else '' end as r from parts),
-msgs as (select session_id, record_ordinal, arg_min(r, (o, id)) as role, max((r = '')::int) as foreign_role, count(*) as parts, string_agg(text, chr(10) order by o, id) as text from named group by all),
-talk as (select *, lead(role) over w as nxt, row_number() over w as rn from msgs where role in ('user', 'assistant') window w as (partition by session_id order by record_ordinal)),
+msgs as (select session_id, record_ordinal, lone, arg_min(r, (o, id)) as role, max((r = '')::int) as foreign_role, count(*) as parts, string_agg(text, chr(10) order by o, id) as text from named group by all),
+talk as (select *, lead(role) over w as nxt, row_number() over w as rn from msgs where role in ('user', 'assistant') window w as (partition by session_id order by record_ordinal, lone)),
 per as (select session_id, max(foreign_role) as f, any_value(1) as one from msgs group by 1),
 t as (select session_id, max((rn = 1 and role <> 'user')::int) as bad_start, max((role = 'user' and coalesce(nxt, 'user') <> 'assistant')::int) as unanswered from talk group by 1),
 everyone as (select id as session_id from sessions union select session_id from session_events where session_id is not null),

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from loomstack.llm import conversations as C
 
 EV = "id long, session_id long, content_id long, record_ordinal long, part_ordinal long, native_event_id string, role string, kind string"
@@ -48,6 +50,26 @@ def test_against_brute_force(spark, monkeypatch):
     assert {r.session_id: r.reason for r in got.collect() if r.reason} == brute(sessions, events, contents)
 
 
+def test_edits_deletes_and_retries_fold(spark):
+    """The last version counts: an edited role or text, a deleted answer, a retry under the same version, an edit that comes before its create."""
+    schema = EV + ", version long, op string"
+    events = [
+        (1, 1, 1, 1, 0, "q", "user", "message", 1, "create"), (2, 1, 2, 2, 0, "a", "assistant", "message", 1, "create"), (3, 1, 3, 2, 0, "A", "assistant", "message", 2, "edit"),  # an edited answer
+        (4, 2, 1, 1, 0, "q", "user", "message", 1, "create"), (5, 2, 2, 2, 0, "a", "assistant", "message", 1, "create"), (6, 2, 2, 2, 0, "a", "assistant", "message", 2, "delete"),  # its answer deleted
+        (7, 3, 1, 1, 0, "q", "user", "message", 1, "create"), (8, 3, 3, 2, 0, "a", "assistant", "message", 5, "edit"), (9, 3, 2, 2, 0, "a", "assistant", "message", 1, "create"),  # out of order
+        (10, 4, 1, 1, 0, "q", "user", "message", 1, "create"), (11, 4, 1, 1, 0, "q", "user", "message", 1, "retry"), (12, 4, 2, 2, 0, "a", "assistant", "message", 1, "create"),  # a retry
+        (13, 5, 1, 1, 0, "q", "user", "message", None, "create"), (14, 5, 4, 1, 0, "q", "user", "message", 1, "edit"),  # edited to nothing
+        (15, 6, 1, None, 0, None, "user", "message", None, None), (16, 6, 2, None, 0, None, "assistant", "message", None, None)]  # without ordinals
+    contents = [(1, "ask"), (2, "old answer"), (3, "new answer"), (4, " ")]
+    e, c = spark.createDataFrame(events, schema), spark.createDataFrame(contents, "id long, text string")
+    s = spark.createDataFrame([(k,) for k in range(1, 7)], "id long")
+    fold = (F.col("version"), F.col("op") == "delete")
+    assert {r.session_id: r.reason for r in C.verdicts(s, e, c, *fold).collect()} == {1: None, 2: "no_reply", 3: None, 4: None, 5: "empty", 6: None}
+    got = sorted((r.session_id, r.record_ordinal, r.role, r.parts, r.text) for r in C.rebuilt(s, e, c, *fold).collect())
+    assert got == [(1, 1, "user", 1, "ask"), (1, 2, "assistant", 1, "new answer"), (3, 1, "user", 1, "ask"), (3, 2, "assistant", 1, "new answer"), (4, 1, "user", 1, "ask"), (4, 2, "assistant", 1, "old answer"),
+                   (6, -1, "assistant", 1, "old answer"), (6, -1, "user", 1, "ask")]
+
+
 def test_empty_tables(spark):
     e, c, s = spark.createDataFrame([], EV), spark.createDataFrame([], "id long, text string"), spark.createDataFrame([(1,)], "id long")
     assert [tuple(r) for r in C.verdicts(s, e, c).collect()] == [(1, "empty")]
