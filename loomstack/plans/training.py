@@ -42,15 +42,13 @@ def p4_session_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path, depth, root and number of descendants of every session that is not on or below a loop."""
     links = hierarchy.session_links(table(spark, sf_dir, "sessions", "id", "session_uid", "agent", "native_id", "parent_session_id"))
     t = written(hierarchy.tours(links), "tours")
-    path = hierarchy.paths(t, ">")
-    return t.join(path, ["scope_id", "nid"]).select("node", "root", "depth", "descendants", "path")
+    return t.join(hierarchy.paths(t, ">"), "did").select("node", "root", "depth", "descendants", "path")
 
 
 def p4_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path, depth, root and number of descendants of every event and session; on or below a loop '', -1, '' and null."""
-    t = written(hierarchy.tours(hierarchy.all_links(spark, sf_dir)), "tours")
-    scope = F.when(F.col("scope_id") == hierarchy.SESSIONS, 0).otherwise(F.col("scope_id")).cast("long")
-    return t.join(hierarchy.paths(t, ">"), ["scope_id", "nid"], "left").select(scope.alias("scope_id"), "node", "root", "depth", "descendants", F.coalesce("path", F.lit("")).alias("path"))
+    t = written(hierarchy.all_tours(spark, sf_dir), "tours")
+    return t.join(hierarchy.paths(t, ">"), "did", "left").select(hierarchy.scope_of_result(), "node", "root", "depth", "descendants", F.coalesce("path", F.lit("")).alias("path"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ def test_random_forests_with_loops(spark, monkeypatch, block, hot):
     assert {k: (r.root, r.depth) for k, r in got.items()} == want
     for (s, n), r in got.items():  # intervals tell descendants
         if r.depth >= 0:
-            below = sum(1 for (s2, _), x in got.items() if s2 == s and x.root_nid == r.root_nid and x.entry > r.entry and x.exit < r.exit)
+            below = sum(1 for (s2, _), x in got.items() if s2 == s and x.root_did == r.root_did and x.entry > r.entry and x.exit < r.exit)
             assert below == r.descendants
 
 
@@ -61,8 +61,8 @@ def test_deep_chain_and_wide_parent(spark, monkeypatch):
 
 def test_paths_and_ancestors(spark):
     t = H.tours(spark.createDataFrame([(0, "r", 1, ""), (0, "a", 2, "r"), (0, "b", 3, "a"), (0, "x", 4, "x")], LINKS))
-    assert {r.nid: r.path for r in H.paths(t).collect()} == {1: "r", 2: "r/a", 3: "r/a/b"}
-    assert sorted(r.ancestor for r in H.ancestors(t, t.where("nid = 3").select("scope_id", "nid")).collect()) == ["a", "r"]
+    assert {r.nid: r.path for r in H.paths(t).join(t, "did").collect()} == {1: "r", 2: "r/a", 3: "r/a/b"}
+    assert sorted(r.ancestor for r in H.ancestors(t, t.where("nid = 3").select("did")).collect()) == ["a", "r"]
 
 
 def test_links_fold_ids_and_take_the_lowest_row(spark):
@@ -101,4 +101,25 @@ def test_paths_across_blocks(spark, monkeypatch):
         while parent[parts[0]]:
             parts.insert(0, parent[parts[0]])
         want[nid] = ">".join(parts)
-    assert {r.nid: r.path for r in H.paths(H.tours(spark.createDataFrame(links, LINKS)), ">").collect()} == want
+    t = H.tours(spark.createDataFrame(links, LINKS))
+    assert {r.nid: r.path for r in H.paths(t, ">").join(t, "did").collect()} == want
+
+
+@pytest.mark.parametrize("ids", [(-5, -7, 9), (2**63 - 1, -(2**63), 0), (0, 0, 0)])
+def test_any_ids(spark, ids):
+    links = [(-4, "r", ids[0], ""), (-4, "k", ids[1], "r"), (-4, "m", ids[2], "k"), (2**62, "s", ids[0], "t"), (2**62, "t", ids[1], "s")]
+    assert {k: (r.root, r.depth) for k, r in run(spark, links).items()} == brute(links)
+
+
+@pytest.mark.parametrize("block,one_task", [(7, True), (7, False), (400_000, True)])
+def test_loops_over_many_blocks(spark, monkeypatch, block, one_task):
+    """Rings longer than a block, with trees below them, by one task or by squaring; next to trees that cross blocks without a loop."""
+    monkeypatch.setattr(H, "BLOCK_NODES", block)
+    if not one_task:
+        monkeypatch.setattr(H, "blocks_for", lambda spark, rows: 40)
+        monkeypatch.setattr(H, "BLOCK_NODES", 1)
+    rng = random.Random(3)
+    links = [(1, f"ring{i}", 10 * i, f"ring{(i + 1) % 50}") for i in range(50)] + [(1, f"below{i}", 10 * i + 5, rng.choice([f"ring{i}", f"below{max(i - 1, 0)}"]) if i else "ring0") for i in range(50)]
+    links += [(2, f"t{i}", -i, f"t{rng.randrange(i)}" if i else "gone") for i in range(60)] + [(3, "x", 1, "y"), (3, "y", 10_000, "x"), (3, "z", 5000, "z")]
+    rng.shuffle(links)
+    assert {k: (r.root, r.depth) for k, r in run(spark, links).items()} == brute(links)
