@@ -5,22 +5,27 @@ independent posteriors for the subjects.
 
 A document is read as segments (sentences, lines). Naive Bayes scores every segment for each subject and for a background class,
 which takes up the sentences that are about nothing in particular; a subject's weights are those of complement naive Bayes, the log
-ratio of a feature's rate in the subject to its rate everywhere else. The first weights come from labelled documents; each round of EM then assigns
-the segments of *all* documents softly (a labelled document's segments to its own subjects and the background) and counts features
-anew. A document's evidence for a subject is how many of its segments belong to it, absolutely and as a share, so a passing mention
-stays one segment. A logistic calibration per evidence, fitted on labelled documents, turns it into independent posteriors.
-
-Features are words and pairs of neighbouring words (of Chinese and Japanese runs: character pairs), hashed into BUCKETS buckets, so
-the model has one size whatever the corpus: 9 x BUCKETS numbers, the only thing that goes to the tasks. Tasks send back sums per cell.
-
-Bounds: calibration uses at most CALIBRATION labelled documents (those with the lowest hash of the id); every other count covers all
-documents. Defined results: null, empty and blank texts have no subject; a labelled document gets none from us (its subjects are
-known); labels of unknown documents or subjects are ignored; without labels there is no model and the result is empty.
+ratio of a feature's rate in the subject to its rate everywhere else, for and against. The first weights come from labelled documents; each round of EM
+then assigns the segments of *all* documents softly (a labelled document's segments to its own subjects and the background) and counts features
+anew. While training, a segment's prior follows the rest of its document: where other segments belong to a subject, an undecided one leans to it,
+which is how words that no labelled document holds find their subject. A document's evidence for a subject is how many of its segments belong to it, absolutely
+and as a share, so a passing mention stays one segment. A logistic calibration per evidence turns it into independent posteriors; it is
+fitted on labelled documents in FOLDS folds, each scored by weights from which the features of its own fold were taken away.
+
+Features are words, their first letters without diacritics (words of one origin meet across languages) and pairs of neighbouring words (of
+Chinese and Japanese runs: character pairs), hashed into BUCKETS buckets, so the model has one size whatever the corpus: (subjects + 1) x BUCKETS
+numbers, the only thing that goes to the tasks. Tasks send back sums per cell, of as few partitions as keep all cores busy.
+
+Bounds: calibration uses at most CALIBRATION labelled documents (those with the lowest hash of the id), a model has at most MAX_SUBJECTS
+subjects, and languages beyond the LANGUAGES most frequent share one row in the language shares (only there; no document is left out). Every
+other count covers all documents. Defined results: null, empty and blank texts have no subject; a labelled document gets none from us (its
+subjects are known); labels of unknown documents or subjects are ignored; without labels there is no model and the result is empty.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -32,67 +37,97 @@ from pyspark.sql import functions as F
 from loomstack.runtime import table, written
 
 BUCKETS = 1 << 16
-ROUNDS = 3
-#: Labelled documents used to fit the calibration.
-CALIBRATION = 20_000
+ROUNDS = 4
+#: Labelled documents used to fit the calibration, and its folds.
+CALIBRATION, FOLDS = 20_000, 5
 #: Subjects are a fixed list; the model's size depends on their number.
 MAX_SUBJECTS = 256
 SMOOTHING = 0.5
-#: Leanings below MARGIN count as none; LEAST and MOST bound what one feature may say.
-MARGIN, LEAST, MOST = 1.0, 0.0, 5.0
+#: Leanings below MARGIN count as none; LEAST and MOST bound what one feature may say against and for a subject.
+MARGIN, LEAST, MOST = 1.0, 2.0, 5.0
+#: Log odds of a segment to be about a subject rather than background; weight of the rest of its document while training.
+PRIOR, COHERENCE = -5.0, 1.0
 THRESHOLD = 0.5
 #: Quantile of the labelled documents that marks the least share of segments on subjects.
 FLOOR = 0.001
 #: Share of responsibility that a labelled document's segments may give to subjects that it does not have (passing mentions).
 SLACK = 0.02
-
-SEGMENT = re.compile(r"[\r\n]+|(?<=[.!?;])\s+|(?<=[。！？])")
-WORD = re.compile(r"[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+(?![a-zß-öø-ÿ])|[぀-ヿ㐀-鿿々ヶー]+|[^\W\d_A-Za-zÀ-ÿ぀-ヿ㐀-鿿]+")
-
-
-def _bucket(feature: str) -> int:
-    return zlib.crc32(feature.encode()) & (BUCKETS - 1)
-
-
-_seen: dict[str, int] = {}
-
-
-def _hashed(feature: str) -> int:
-    b = _seen.get(feature)
-    if b is None:
-        if len(_seen) > 200_000:
-            _seen.clear()
-        b = _seen[feature] = _bucket(feature)
-    return b
+#: First letters of a word of more than PREFIX letters.
+PREFIX = 5
+
+#: An end of a segment (a line end, a stop before white space, a full-width stop) or a word.
+TOKEN = re.compile(r"[\r\n]+|[.!?;](?=\s)|[。！？]|[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+(?![a-zß-öø-ÿ])|[぀-ヿ㐀-鿿々ヶー]+|[^\W\d_A-Za-zÀ-ÿ぀-ヿ㐀-鿿]+")
+_STOP = frozenset("\r\n.!?;。！？")
+
+
+class Featurizer:
+    """Hashed features of texts, in batches. A token is looked up once; the rest is arithmetic over the batch."""
+
+    #: Tokens kept between batches.
+    KEPT = 200_000
+
+    def __init__(self) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        # Token 0 is the end of a segment. Per token: its place in ``flat``, number of features, and its hash for pairs (0: takes part in none).
+        self.ids: dict[str, int] = {}
+        self.flat: list[int] = []
+        self.start, self.size, self.hash = [0], [0], [0]
+
+    def _new(self, token: str) -> int:
+        if token[0] in _STOP:
+            self.ids[token] = 0
+            return 0
+        if token[0] >= "぀":
+            feats, h = [zlib.crc32(token[i:i + 2].encode()) for i in range(len(token) - 1)], 0
+        else:
+            w = token.lower()
+            h = zlib.crc32(w.encode()) | 1 << 32
+            feats = [h] if len(w) > 1 else []
+            if len(w) > PREFIX:
+                plain = unicodedata.normalize("NFD", w[:PREFIX + 2]).encode("ascii", "ignore")[:PREFIX]
+                feats += [zlib.crc32(b"~" + plain)] if len(plain) == PREFIX else []
+        k = self.ids[token] = len(self.start)
+        self.start.append(len(self.flat))
+        self.size.append(len(feats))
+        self.hash.append(h)
+        self.flat += [f & (BUCKETS - 1) for f in feats]
+        return k
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(features, features of each segment, segments of each document); the features of a segment are distinct, and segments without any are left out."""
+        if len(self.ids) > self.KEPT:
+            self._clear()
+        known, new, toks, ends = self.ids, self._new, [], []
+        for t in texts:
+            if t:
+                toks += [known[w] if w in known else new(w) for w in TOKEN.findall(t)]
+            toks.append(0)
+            ends.append(len(toks))
+        tok = np.array(toks, np.int64)
+        start, size, pair, flat = (np.array(a, np.int64) for a in (self.start, self.size, self.hash, self.flat))
+        seg = np.cumsum(tok == 0) - (tok == 0)
+        n = size[tok]
+        one = flat[np.repeat(start[tok] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        h = pair[tok]
+        both = (h[:-1] > 0) & (h[1:] > 0)
+        with np.errstate(over="ignore"):
+            mixed = (h[:-1][both] * np.int64(0x9E3779B1) + h[1:][both]) * np.int64(0x2545F4914F6CDD1D)
+        two = (mixed >> 40) & (BUCKETS - 1)
+        cells = np.sort(np.concatenate([np.repeat(seg, n), seg[:-1][both]]) * BUCKETS + np.concatenate([one, two]))
+        cells = cells[np.diff(cells, prepend=-1) > 0]
+        of = cells // BUCKETS
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        of, lens = of[first], np.diff(first, append=len(cells))
+        last = np.searchsorted(of, seg[np.array(ends, np.int64) - 1], side="right")
+        return (cells % BUCKETS).astype(np.int32), lens, np.diff(last, prepend=0)
 
 
 def segments(text: str | None) -> list[list[int]]:
-    """Hashed features of each segment of a text; segments without any word are left out."""
-    out = []
-    for part in SEGMENT.split(text or ""):
-        found, last = set(), None
-        for w in WORD.findall(part):
-            if w[0] >= "぀":
-                found.update(_hashed(w[i:i + 2]) for i in range(len(w) - 1))
-                last = None
-                continue
-            w = w.lower()
-            if len(w) > 1:
-                found.add(_hashed(w))
-            if last:
-                found.add(_hashed(f"{last} {w}"))
-            last = w
-        if found:
-            out.append(sorted(found))
-    return out
-
-
-def flat(docs: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, segment starts, segments of each document)."""
-    lengths = [len(s) for d in docs for s in d]
-    feats = np.fromiter((f for d in docs for s in d for f in s), np.int32, sum(lengths))
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if lengths else np.zeros(0, np.int64)
-    return feats, starts, np.array([len(d) for d in docs], np.int64)
+    """Hashed features of each segment of a text."""
+    feats, lens, _ = Featurizer()([text])
+    return [x.tolist() for x in np.split(feats, np.cumsum(lens)[:-1])] if len(lens) else []
 
 
 def weights(counts: np.ndarray, mass: np.ndarray, by_lang: np.ndarray) -> np.ndarray:
@@ -108,42 +143,54 @@ def weights(counts: np.ndarray, mass: np.ndarray, by_lang: np.ndarray) -> np.nda
     scale = counts.sum(axis=1, keepdims=True) / np.maximum(by_lang.sum(axis=1, keepdims=True), 1e-9)
     expected = expected * scale
     n, e = counts.sum(axis=1, keepdims=True), expected.sum(axis=1, keepdims=True)
-    w = np.log((counts + SMOOTHING) / (expected + SMOOTHING)) - np.log((n - counts + SMOOTHING) / (np.maximum(e - expected, 0) + SMOOTHING))
+    w = np.log((counts + SMOOTHING) / (expected + SMOOTHING)) - np.log((np.maximum(n - counts, 0) + SMOOTHING) / (np.maximum(e - expected, 0) + SMOOTHING))
     w = np.clip(np.where(w > 0, np.maximum(w - MARGIN, 0), np.minimum(w + MARGIN, 0)), -LEAST, MOST)
     w[:, -1] = 0
     return w.astype(np.float32)
 
 
-def responsibilities(feats: np.ndarray, starts: np.ndarray, w: np.ndarray, prior: np.ndarray, allowed: np.ndarray | None = None) -> np.ndarray:
-    """Class shares of each segment; ``allowed`` multiplies them before they are normed."""
-    if not len(starts):
-        return np.zeros((0, w.shape[1]), np.float32)
-    score = np.add.reduceat(w[feats], starts, axis=0) + prior
-    score -= score.max(axis=1, keepdims=True)
-    p = np.exp(score)
-    if allowed is not None:
-        p *= allowed
-    return p / p.sum(axis=1, keepdims=True)
+def per_document(shares: np.ndarray, per_doc: np.ndarray) -> np.ndarray:
+    """Sums of segment rows by document."""
+    ends = np.concatenate([np.zeros((1, shares.shape[1])), np.cumsum(shares, axis=0, dtype=np.float64)])
+    at = np.cumsum(per_doc)
+    return ends[at] - ends[at - per_doc]
 
 
-def prior_of(classes: int) -> np.ndarray:
-    """Log odds of a segment to be about a subject rather than background."""
-    p = np.full(classes, -4.0, np.float32)
-    p[-1] = 0.0
-    return p
+def responsibilities(feats: np.ndarray, starts: np.ndarray, per_doc: np.ndarray, w: np.ndarray, allowed: np.ndarray | None = None, coherence: float = 0.0) -> np.ndarray:
+    """Class shares of each segment; ``allowed`` multiplies them before they are normed, ``coherence`` makes the prior follow the rest of the document."""
+    classes = w.shape[1]
+    if not len(starts):
+        return np.zeros((0, classes))
+    score = np.add.reduceat(w[feats], starts, axis=0).astype(np.float64)
+
+    def normed(prior: np.ndarray) -> np.ndarray:
+        s = score + prior
+        p = np.exp(s - s.max(axis=1, keepdims=True))
+        if allowed is not None:
+            p *= allowed
+        return p / p.sum(axis=1, keepdims=True)
+
+    prior = np.full(classes, PRIOR)
+    prior[-1] = 0
+    r = normed(prior)
+    if not coherence:
+        return r
+    doc = np.repeat(np.arange(len(per_doc)), per_doc)
+    sure = np.where(r > 0.5, r, 0)
+    rest = np.maximum(per_document(sure, per_doc)[doc] - sure, 0) / np.maximum(per_doc[doc] - 1, 1)[:, None]
+    leaning = np.log(np.exp(PRIOR) + coherence * rest)
+    leaning[:, -1] = 0
+    return normed(leaning)
 
 
 def evidence(resp: np.ndarray, per_doc: np.ndarray) -> np.ndarray:
     """(documents, classes): summed segment shares; a share below one half is no assignment and counts for nothing."""
-    resp = np.where(resp > 0.5, resp, 0)
-    out = np.zeros((len(per_doc), resp.shape[1]))
-    np.add.at(out, np.repeat(np.arange(len(per_doc)), per_doc), resp)
-    return out
+    return per_document(np.where(resp > 0.5, resp, 0), per_doc)
 
 
 def indicators(ev: np.ndarray) -> np.ndarray:
     """Per document and subject, the inputs of the calibration: count, share of all subjects' segments, share of all segments."""
-    s = ev[:, :-1]
+    s = np.maximum(ev[:, :-1], 0)
     total = s.sum(axis=1, keepdims=True)
     best = s.max(axis=1, keepdims=True) if s.size else s
     return np.stack([
@@ -169,27 +216,34 @@ def posteriors(ev: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 # ---- the distributed part ---------------------------------------------------------------------------------------------------
 LANGUAGES = 15
-FEATURES = "doc_id long, lang int, subjects array<int>, feats array<int>, lens array<int>"
+FEATURES = "doc_id long, lang int, fold int, subjects array<int>, feats array<int>, lens array<int>"
 CELLS = "cell long, value double"
-EVIDENCE = "doc_id long, subjects array<int>, ev array<double>"
+
+
+def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
 def featured(documents: DataFrame, labels: DataFrame, subjects: list[str], langs: list[str]) -> DataFrame:
-    """Hashed segments of every document with its language and known subjects, as indexes."""
+    """Hashed segments of every document with its language and known subjects, as indexes, and the fold of a labelled one."""
     index = {s: k for k, s in enumerate(subjects)}
     place = {s: k for k, s in enumerate(langs)}
     known = labels.where(F.col("subject").isin(subjects)).groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("names"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs = [segments(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([place.get(x, len(langs)) for x in batch.column("lang").to_pylist()], pa.int32()),
-                pa.array([None if n is None else [index[x] for x in n] for n in batch.column("names").to_pylist()], pa.list_(pa.int32())),
-                pa.array([[f for s in d for f in s] for d in docs], pa.list_(pa.int32())),
-                pa.array([[len(s) for s in d] for d in docs], pa.list_(pa.int32()))], ["doc_id", "lang", "subjects", "feats", "lens"])
+        features = Featurizer()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                feats, lens, per_doc = features(batch.column("text").to_pylist())
+                per = per_document(lens[:, None], per_doc)[:, 0].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id"), pa.array([place.get(x, len(langs)) for x in batch.column("lang").to_pylist()], pa.int32()), batch.column("fold"),
+                    pa.array([None if n is None else [index[x] for x in n] for n in batch.column("names").to_pylist()], pa.list_(pa.int32())),
+                    _lists(feats, per), _lists(lens, per_doc)], ["doc_id", "lang", "fold", "subjects", "feats", "lens"])
 
-    return documents.select("doc_id", "text", "lang").join(known, "doc_id", "left").mapInArrow(scan, FEATURES)
+    d = documents.select("doc_id", "text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"))
+    return d.join(known, "doc_id", "left").mapInArrow(scan, FEATURES)
 
 
 class _Docs:
@@ -198,23 +252,26 @@ class _Docs:
     def __init__(self, batch: pa.RecordBatch, classes: int):
         lens, feats, known = batch.column("lens"), batch.column("feats"), batch.column("subjects")
         seg = lens.flatten().to_numpy().astype(np.int64)
-        self.ids, self.lang, self.subjects = batch.column("doc_id"), batch.column("lang").to_numpy(), known
+        self.ids, self.lang, self.fold, self.subjects = batch.column("doc_id"), batch.column("lang").to_numpy(), batch.column("fold").to_numpy(), known
         self.feats = feats.flatten().to_numpy()
         self.starts = np.concatenate([[0], np.cumsum(seg)[:-1]]).astype(np.int64) if len(seg) else np.zeros(0, np.int64)
         self.per_doc = lens.value_lengths().fill_null(0).to_numpy().astype(np.int64)
         self.seg_len = seg
         self.doc_of_seg = np.repeat(np.arange(batch.num_rows), self.per_doc)
         self.seg_of_feat = np.repeat(np.arange(len(seg)), seg)
-        self.labelled = known.is_valid().to_numpy(zero_copy_only=False)
-        self.allowed = np.ones((batch.num_rows, classes), np.float32)
+        self.allowed = np.ones((batch.num_rows, classes))
         self.own = np.zeros((batch.num_rows, classes))
-        for i in np.flatnonzero(self.labelled):
+        for i in np.flatnonzero(known.is_valid().to_numpy(zero_copy_only=False)):
             mine = known[int(i)].as_py()
             self.allowed[i] = SLACK
             self.allowed[i, -1] = 1
             self.allowed[i, mine] = 1
             self.own[i, mine] = 1 / len(mine)
 
+    def shares(self, w: np.ndarray | None) -> np.ndarray:
+        """Class shares of the segments as training has them: those of the labels, or of the weights within the labels."""
+        return self.own[self.doc_of_seg] if w is None else responsibilities(self.feats, self.starts, self.per_doc, w, self.allowed[self.doc_of_seg], COHERENCE)
+
 
 def _slices(batches: Iterator[pa.RecordBatch], classes: int, rows: int = 1000) -> Iterator[_Docs]:
     for batch in batches:
@@ -222,66 +279,88 @@ def _slices(batches: Iterator[pa.RecordBatch], classes: int, rows: int = 1000) -
             yield _Docs(batch.slice(at, rows), classes)
 
 
-def _sums(features: DataFrame, classes: int, langs: int, shares) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(counts, mass, by_lang) over all documents: features and class mass with the class shares that ``shares(docs)`` gives to segments.
+def _few(features: DataFrame) -> DataFrame:
+    """As few partitions as keep the cores busy: every one of them sends a model's worth of sums, whatever it has read."""
+    most = 2 * features.sparkSession.sparkContext.defaultParallelism
+    return features.coalesce(most) if features.rdd.getNumPartitions() > most else features
+
+
+class Sums:
+    """Counts of features by class, mass of classes by language, features by language."""
+
+    def __init__(self, counts: np.ndarray, mass: np.ndarray, by_lang: np.ndarray):
+        self.counts, self.mass, self.by_lang = counts, mass, by_lang
+
+    def __sub__(self, other: "Sums") -> "Sums":
+        return Sums(self.counts - other.counts, self.mass - other.mass, self.by_lang - other.by_lang)
+
+    def weights(self) -> np.ndarray:
+        return weights(self.counts, self.mass, self.by_lang)
+
+
+def _sums(features: DataFrame, classes: int, langs: int, w: np.ndarray | None, with_langs: bool = True, folds: int = 1) -> list[Sums]:
+    """Sums over all documents of ``features``, by fold if there are several.
 
     Every task adds up dense arrays of the model's fixed size and sends their cells that are not zero.
     """
-    width = classes + langs
+    width = classes + (langs if with_langs else 0)
+    block = (BUCKETS + langs) * width
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BUCKETS, width))
-        mass = np.zeros((langs, width))
+        cells = np.zeros((folds, BUCKETS + langs, width))
         for d in _slices(batches, classes):
-            r = shares(d)
-            for c in range(classes):
-                total[:, c] += np.bincount(d.feats, weights=r[d.seg_of_feat, c], minlength=BUCKETS)
-            used = r.sum(axis=1) > 0
-            lang = d.lang[d.doc_of_seg]
-            for k in np.unique(lang):
-                pick = (lang == k) & used
-                total[:, classes + k] += np.bincount(d.feats[pick[d.seg_of_feat]], minlength=BUCKETS)
-                mass[k, :classes] += (r[pick] * d.seg_len[pick, None]).sum(axis=0)
-        cells = np.concatenate([total, mass]).ravel()
+            r, lang, fold = d.shares(w), d.lang[d.doc_of_seg], d.fold[d.doc_of_seg] if folds > 1 else np.zeros(len(d.starts), np.int64)
+            for f in np.unique(fold):
+                mine = (fold == f)[d.seg_of_feat]
+                feats, seg = d.feats[mine], d.seg_of_feat[mine]
+                for c in range(classes):
+                    cells[f, :BUCKETS, c] += np.bincount(feats, weights=r[seg, c], minlength=BUCKETS)
+                for k in np.unique(lang[fold == f]):
+                    pick = (lang == k) & (fold == f)
+                    cells[f, BUCKETS + k, :classes] += (r[pick] * d.seg_len[pick, None]).sum(axis=0)
+                    if with_langs:
+                        cells[f, :BUCKETS, classes + k] += np.bincount(d.feats[pick[d.seg_of_feat]], minlength=BUCKETS)
+        cells = cells.ravel()
         at = np.flatnonzero(cells)
         for a in range(0, len(at), 50_000):
             part = at[a:a + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(cells[part])], ["cell", "value"])
 
-    got = features.mapInArrow(scan, CELLS).groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
-    cells = np.zeros((BUCKETS + langs) * width)
+    got = _few(features).mapInArrow(scan, CELLS).groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+    cells = np.zeros(folds * block)
     cells[got["cell"].to_numpy()] = got["value"].to_numpy()
-    cells = cells.reshape(BUCKETS + langs, width)
-    return cells[:BUCKETS, :classes], cells[BUCKETS:, :classes], cells[:BUCKETS, classes:]
+    cells = cells.reshape(folds, BUCKETS + langs, width)
+    return [Sums(x[:BUCKETS, :classes], x[BUCKETS:, :classes], x[:BUCKETS, classes:]) for x in cells]
 
 
-def train(features: DataFrame, classes: int, langs: int) -> np.ndarray:
-    """Weights after naive Bayes on the labelled documents and ROUNDS of EM over all."""
-    prior = prior_of(classes)
-    w = weights(*_sums(features.where("subjects is not null"), classes, langs, lambda d: d.own[d.doc_of_seg]))
+def train(features: DataFrame, classes: int, langs: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Weights after naive Bayes on the labelled documents and ROUNDS of EM over all, and for each fold the weights without its documents."""
+    labelled = features.where("subjects is not null")
+    w, by_lang = _sums(labelled, classes, langs, None)[0].weights(), None
     for _ in range(ROUNDS):
-        w = weights(*_sums(features, classes, langs, lambda d, w=w: responsibilities(d.feats, d.starts, w, prior, d.allowed[d.doc_of_seg])))
-    return w
-
-
-def evidences(features: DataFrame, w: np.ndarray) -> DataFrame:
-    classes, prior = w.shape[1], prior_of(w.shape[1])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for d in _slices(batches, classes):
-            ev = evidence(responsibilities(d.feats, d.starts, w, prior), d.per_doc)
-            yield pa.RecordBatch.from_arrays([d.ids, d.subjects, pa.array(list(ev), pa.list_(pa.float64()))], ["doc_id", "subjects", "ev"])
-
-    return features.mapInArrow(scan, EVIDENCE)
+        before, total = w, _sums(features, classes, langs, w, with_langs=by_lang is None)[0]
+        by_lang = total.by_lang if by_lang is None else by_lang  # the same in every round
+        total.by_lang = by_lang
+        w = total.weights()
+    own = _sums(labelled, classes, langs, before, folds=FOLDS)
+    return w, [(total - s).weights() for s in own]
 
 
-def calibrate(ev: DataFrame, classes: int) -> tuple[np.ndarray, float]:
+def calibrate(features: DataFrame, classes: int, held_out: list[np.ndarray]) -> tuple[np.ndarray, float]:
     """Coefficients of the posteriors, and the least share of a document's segments that labelled documents give to subjects.
 
     No document is labelled as being about nothing, so that side is set by range: a document with a smaller part of its segments on
     any subject than labelled documents ever have only mentions it.
     """
-    rows = ev.where("subjects is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION).select("subjects", "ev").collect()
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for d in _slices(batches, classes):
+            ev = np.zeros((len(d.per_doc), classes))
+            for f in np.unique(d.fold):
+                ev[d.fold == f] = evidence(responsibilities(d.feats, d.starts, d.per_doc, held_out[f]), d.per_doc)[d.fold == f]
+            yield pa.RecordBatch.from_arrays([d.subjects, pa.array(list(ev), pa.list_(pa.float64()))], ["subjects", "ev"])
+
+    sample = features.where("subjects is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION)
+    rows = sample.mapInArrow(scan, "subjects array<int>, ev array<double>").collect()
     e = np.array([r["ev"] for r in rows]).reshape(len(rows), classes)
     y = np.zeros((len(rows), classes - 1))
     for i, r in enumerate(rows):
@@ -306,20 +385,18 @@ def classify(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> Da
     classes = len(subjects) + 1
     if features.where("subjects is not null").isEmpty():
         return spark.createDataFrame([], schema)
-    w = train(features, classes, len(langs) + 1)
-    ev = written(evidences(features, w), "evidence")
-    b, floor = calibrate(ev, classes)
+    w, held_out = train(features, classes, len(langs) + 1)
+    b, floor = calibrate(features, classes, held_out)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            e = batch.column("ev").flatten().to_numpy().reshape(batch.num_rows, classes)
+        for d in _slices(batches, classes):
+            e = evidence(responsibilities(d.feats, d.starts, d.per_doc, w), d.per_doc)
             p = posteriors(e, b)
             enough = (e[:, :-1].sum(axis=1) > 0) & (e[:, :-1].sum(axis=1) >= floor * e.sum(axis=1))
-            i, k = np.nonzero((p >= THRESHOLD) & enough[:, None] & (e[:, :-1] > 0))
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").take(pa.array(i)), pa.array([subjects[x] for x in k], pa.string()), pa.array(p[i, k])], ["doc_id", "subject", "posterior"])
+            i, k = np.nonzero((p >= THRESHOLD) & enough[:, None] & (e[:, :-1] > 1e-6))
+            yield pa.RecordBatch.from_arrays([d.ids.take(pa.array(i)), pa.array([subjects[x] for x in k], pa.string()), pa.array(p[i, k])], ["doc_id", "subject", "posterior"])
 
-    return ev.where("subjects is null").mapInArrow(scan, schema)
+    return features.where("subjects is null").mapInArrow(scan, schema)
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
