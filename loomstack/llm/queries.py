@@ -25,7 +25,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All chunks with their secrets blanked in place."""
-    return secrets.redacted(table(spark, sf_dir, "chunks", "id", "file_id", "raw_body"))
+    return secrets.redacted(table(spark, sf_dir, "chunks", "id", "file_id", "start_line", "end_line", "raw_body"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,17 +2,19 @@
 
 1. *Index.* One pass proposes literals: values assigned to credential-like names, passwords inside URLs, values behind an
    authorization scheme, private key blocks, vendor token formats, and values that a comment calls old or due for rotation.
-2. *Suppress.* A literal owned by many files is a placeholder or an example, however it looks; owners are counted over the corpus.
-   Values that have the form of a placeholder or reference are refused at once.
-3. *Confirm.* Rare values of a known structure, or under a credential-like name with the look of a secret, are confirmed.
+2. *Suppress.* Values that have the form of a placeholder or reference are refused at once. Owners (files) are counted over the corpus: a
+   literal of more than SHARED_FILES files, whatever the size of the corpus, is under suspicion of being a placeholder or an example.
+3. *Confirm.* A rare literal is confirmed by what proposed it, a structure of its own or a credential-like name. A widely shared one is
+   confirmed only if nobody would make it up: random looking, free of the words of examples, and if it has no structure of its own, long.
 4. *Re-scan.* Every chunk is searched again for confirmed secrets, wherever they stand. The set of secrets grows with the corpus,
-   so it is not broadcast: words of the chunks meet the anchor word of each secret in a join, and an Aho-Corasick automaton over just
-   the secrets that met a chunk decides on its text. Secrets without a word of WORD characters are anchored by a few of their characters
-   in a row; a bitmap of fixed size keeps the chunks from sending all of theirs. What a chunk proposed stays found in it.
+   so it is not broadcast: words of the chunks meet the words of the secrets in a join (a bitmap of fixed size keeps back the words of no
+   secret), the rarest word of each secret over all chunks is its anchor, and one Aho-Corasick automaton for each batch of
+   rows, over the secrets that met them, decides on their texts. Secrets without a word of WORD characters are anchored by a few of their
+   characters in a row. What a chunk proposed stays found in it.
 
 Defined results: null and empty bodies give nothing; a secret that stands several times in a chunk is reported once; a private
-key that the chunk's window cuts is no whole literal and not reported; repeated chunk ids count as one chunk; extra columns are
-ignored; texts of any length are read whole.
+key that the chunk's window cuts is no whole literal and not reported, but redaction puts the windows of a file together and blanks the
+parts of such a key in all of them; repeated chunk ids count as one chunk; extra columns are ignored; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -26,17 +28,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstack.runtime import table, written
 
 #: Least characters of an anchor word; characters in a row that anchor a secret without one, the first number that it is long enough for.
 WORD, GRAMS = 3, (4, 2, 1)
-#: Bits of the bitmap over the anchors of secrets without a word, as a power of two.
-BITS = 20
-#: A literal in more files than this, and in more than this share of all files, is widely shared.
-SHARED_FILES, SHARED_PART = 8, 0.0005
+#: Bits of the bitmaps over words and anchors, as powers of two: 2 MB and 128 KB.
+WORD_BITS, BITS = 24, 20
+#: A literal in more files than this is widely shared.
+SHARED_FILES = 8
 
 # ---- names ------------------------------------------------------------------------------------------------------------------
 # Words that make a name a credential, and last words that make it something about one.
@@ -44,6 +46,8 @@ CREDENTIAL_WORDS = frozenset("password passwd pwd pass passphrase passcode passw
 RUN_TOGETHER = ("password", "passwd", "passphrase", "passwort", "pass", "secret", "token", "credential", "apikey", "accesskey", "secretkey", "signingkey", "hmackey", "sessionkey")
 KEY_OWNERS = frozenset("api access secret private signing session hmac encryption crypto salt account shared master auth service deploy webhook client storage ssh".split())
 ABOUT_WORDS = frozenset("hash count length len policy type id ids url uri path file name names expiry ttl min max limit size format field header hint label env ref tokens ratio version regex pattern algorithm alg method mode provider enabled required page form".split())
+#: What every credential-like name ends with, digits aside.
+ENDINGS = tuple(sorted({*CREDENTIAL_WORDS, *RUN_TOGETHER, "key", "passe"}))
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -70,8 +74,11 @@ VENDOR = re.compile(
     r"eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{8,}|[a-z]{2,8}_(?:live|prod|test|secret)_[A-Za-z0-9]{20,})(?![A-Za-z0-9_])")
 PRIVATE_KEY = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----[\s\S]*?-----END \1PRIVATE KEY-----")
 SCHEME = re.compile(r"^(Bearer|Basic|Token|ApiKey|Api-Key|Digest|Negotiate|Key)[ \t]+(\S+)$", re.I)
-URL_LOGIN = re.compile(r"\b[a-z][a-z0-9+.\-]*://([^\s/:@\"'`<>]*):([^\s\"'`]+?)@(?=[A-Za-z0-9\[])", re.I)
-QUOTED = re.compile(r"""([A-Za-z_][\w.\-]*)["'`]?[ \t]*\]?[ \t]*(?::[ \t]*[A-Za-z]+[ \t]*=|:=|\|\|=|\?\?=|=>|==?|:|,|["'][ \t]+value=)[ \t]*(["'`])([^"'`\r\n]*+)\2""")
+URL_LOGIN = re.compile(r"://([^\s/:@\"'`<>]*):([^\s\"'`]+?)@(?=[A-Za-z0-9\[])")
+_GIVEN = r"""[ \t]*\]?[ \t]*(?::[ \t]*[A-Za-z]+[ \t]*=|:=|\|\|=|\?\?=|=>|==?|:|,|["'][ \t]+value=)[ \t]*(["'`])"""
+#: Behind the last word of a name: the quoted value that it is given.
+QUOTED = re.compile(rf"""\d*["'`]?{_GIVEN}([^"'`\r\n]*+)\1""")
+SCHEMED = re.compile(rf"""[\w"'`\]]{_GIVEN}((?i:Bearer|Basic|Token|ApiKey|Api-Key|Digest|Negotiate|Key)[ \t]+[^"'`\r\n]*+)\1""")
 BARE = re.compile(r"^[ \t]*(?:export[ \t]+|set[ \t]+|-[ \t]+|ENV[ \t]+)?([A-Za-z_][\w.\-]*)[ \t]*[=:][ \t]*([^\s\"'`{}\[\](),;<>#][^\r\n\"'`]*?)[ \t]*(?:[ \t]#[^\r\n]*)?\r?$", re.M)
 ELEMENT = re.compile(r"<([A-Za-z_][\w.\-]*)>([^<>\r\n]+)</\1>")
 NAMED = re.compile(r"""["']?name["']?[ \t]*[:=][ \t]*["']?([A-Za-z_][\w.\-]*)["']?[ \t]*,?\s+["']?value["']?[ \t]*[:=][ \t]*(?:(["'`])([^"'`\r\n]*)\2|([^\s"'`]+))""")
@@ -119,23 +126,73 @@ def _unwrapped(value: str, named: bool) -> str | None:
     return value if _secret_look(value) else None
 
 
+_NAME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: In lower case, one of each group stands in every text in which the expression finds something.
+_SCHEMES = ("bearer", "basic", "token", "apikey", "api-key", "digest", "negotiate", "key")
+_LOGINS = ("login(", "log_in(", "sign_in(", "signin(", "authenticate(", "basic_auth(", "set_credentials(")
+_VENDORS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "akia", "asia", "xox", "npm_", "aiza", "sk_", "rk_", "sk-", "sg.", "hf_", "dop_v1_", "pypi-", "eyj", "_live_", "_prod_", "_test_", "_secret_")
+_REMARKS = ("old ", "rotate", "revoke", "expire", "leaked", " is", " was")
+_endings = None
+
+
+def _named_values(body: str, low: str) -> list[tuple[str, str]]:
+    """(name, quoted value) wherever a name that ends like a credential is given one; an automaton finds the endings."""
+    global _endings
+    if _endings is None:
+        import ahocorasick
+
+        _endings = ahocorasick.Automaton()
+        for w in ENDINGS:
+            _endings.add_word(w, None)
+        _endings.make_automaton()
+    out = []
+    for end, _ in _endings.iter(low):
+        m = QUOTED.match(body, end + 1)
+        if m:
+            a = end
+            while a and (body[a - 1] in _NAME or body[a - 1].isalnum()):
+                a -= 1
+            out.append((body[a:end + 1], m.group(2)))
+    return out
+
+
+#: Words that only an example holds, and runs of letters of one case, which random values have few of.
+_EXAMPLE = re.compile(r"(?i)example|sample|dummy|fake|change|your|test|demo|placeholder|1234|abcd|qwer|secret|passw|foobar")
+_RUN = re.compile(r"[a-z]{4,}|[A-Z]{4,}|(.)\1{2,}")
+
+
+def unguessable(v: str, structured: bool) -> bool:
+    """Would nobody make this value up? A structure of its own (a format, a key block) stands for length."""
+    if v.startswith("-----BEGIN "):
+        return True
+    loose = sum(len(m.group()) for m in _RUN.finditer(v))
+    return (structured or len(v) >= 12) and not _EXAMPLE.search(v) and entropy(v) >= 2.8 and loose * 2 <= len(v) and re.search(r"\d", v) is not None
+
+
 def propose(body: str | None) -> set[tuple[str, bool]]:
     """(literal, structured) pairs of one chunk. Structured values stand for themselves, others need their name."""
     if not body:
         return set()
+    low = body.lower()
+    if len(low) != len(body):
+        low = body.translate(_LOWER)
     out: set[tuple[str, bool]] = set()
-    blocks = [m.span() for m in PRIVATE_KEY.finditer(body)]
-    out |= {(body[a:b], True) for a, b in blocks}
-    assigned = [(m.group(1), m.group(3)) for m in QUOTED.finditer(body)]
+    if "-----BEGIN" in body:
+        out |= {(m.group(), True) for m in PRIVATE_KEY.finditer(body)}
+    assigned = _named_values(body, low)
     assigned += [(m.group(1), m.group(2)) for m in BARE.finditer(body)]
+    if any(w in low for w in _SCHEMES):
+        assigned += [("", m.group(2)) for m in SCHEMED.finditer(body)]
     if "</" in body:
         assigned += [(m.group(1), m.group(2)) for m in ELEMENT.finditer(body)]
     if "value=" in body:
         assigned += [(m.group(2), m.group(4)) for m in KEYED.finditer(body)]
     if "-H" in body or "--header" in body:
         assigned += [("auth" if "private" in m.group(1).lower() else m.group(1), m.group(2)) for m in HEADER.finditer(body)]
-    assigned += [("password", m.group(3)) for m in LOGIN_CALL.finditer(body)]
-    if "value" in body:
+    if any(w in low for w in _LOGINS):
+        assigned += [("password", m.group(3)) for m in LOGIN_CALL.finditer(body)]
+    if "value" in body and "name" in body:
         assigned += [(m.group(1), m.group(3) if m.group(3) is not None else m.group(4)) for m in NAMED.finditer(body)]
     if "--" in body:
         assigned += [(m.group(1), m.group(3)) for m in OPTION.finditer(body)]
@@ -144,39 +201,41 @@ def propose(body: str | None) -> set[tuple[str, bool]]:
         if v:
             out.add((v, VENDOR.fullmatch(v) is not None or SCHEME.match(value.strip()) is not None))
     if "://" in body:
-        out |= {(m.group(2), True) for m in URL_LOGIN.finditer(body) if not PLACEHOLDER.match(m.group(2))}
-    out |= {(m.group(), True) for m in VENDOR.finditer(body)}
-    out |= {(m.group(1), False) for m in LOGIN_OPTION.finditer(body) if not PLACEHOLDER.match(m.group(1))}
-    for m in REMARK.finditer(body):
-        v = m.group(1).rstrip(".,;:")
-        if not PLACEHOLDER.match(v) and not HASHED.match(v) and "://" not in v and re.search(r"\d", v) and _secret_look(v):
-            out.add((v, False))
+        out |= {(m.group(2), True) for m in URL_LOGIN.finditer(body) if m.start() and body[m.start() - 1] in _NAME and not PLACEHOLDER.match(m.group(2))}
+    if any(w in low for w in _VENDORS):
+        out |= {(m.group(), True) for m in VENDOR.finditer(body)}
+    if "-u" in body:
+        out |= {(m.group(1), False) for m in LOGIN_OPTION.finditer(body) if not PLACEHOLDER.match(m.group(1))}
+    if any(w in low for w in _REMARKS):
+        for m in REMARK.finditer(body):
+            v = m.group(1).rstrip(".,;:")
+            if not PLACEHOLDER.match(v) and not HASHED.match(v) and "://" not in v and re.search(r"\d", v) and _secret_look(v):
+                out.add((v, False))
     return out
 
 
-PROPOSED = "chunk_id long, file_id long, literal string, structured boolean"
+PROPOSED = "chunk_id long, file_id long, literal string, strong boolean"
 
 
 def literals(chunks: DataFrame) -> DataFrame:
-    """The corpus-wide index: (chunk_id, file_id, literal, structured)."""
+    """The corpus-wide index: (chunk_id, file_id, literal, strong), ``strong`` telling a value that nobody would make up."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(c, f, v, s) for c, f, b in zip(*(batch.column(n).to_pylist() for n in ("id", "file_id", "raw_body"))) for v, s in sorted(propose(b))]
+            rows = [(c, f, v, unguessable(v, s)) for c, f, b in zip(*(batch.column(n).to_pylist() for n in ("id", "file_id", "raw_body"))) for v, s in sorted(propose(b))]
             cols = list(zip(*rows)) if rows else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.bool_()))], ["chunk_id", "file_id", "literal", "structured"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.bool_()))], ["chunk_id", "file_id", "literal", "strong"])
 
     return chunks.where("raw_body is not null").select("id", "file_id", "raw_body").mapInArrow(scan, PROPOSED)
 
 
-def confirmed(index: DataFrame, files: int) -> DataFrame:
-    """(literal) of the index that are not widely shared.
+def confirmed(index: DataFrame) -> DataFrame:
+    """(literal) of the index that are rare, or widely shared and yet nothing that one would make up.
 
     Owners are counted in two steps, (literal, file) pairs first, so that a placeholder in a third of all files is no hot key.
     """
-    limit = max(SHARED_FILES, int(files * SHARED_PART))
-    pairs = index.groupBy("literal", "file_id").agg(F.max("structured").alias("structured"))
-    owners = pairs.groupBy("literal").agg(F.count("*").alias("owners"), F.max("structured").alias("structured"))
-    return owners.where(F.col("owners") <= limit).select("literal")
+    pairs = index.groupBy("literal", "file_id").agg(F.max("strong").alias("strong"))
+    owners = pairs.groupBy("literal").agg(F.count("*").alias("owners"), F.max("strong").alias("strong"))
+    return owners.where((F.col("owners") <= SHARED_FILES) | F.col("strong")).select("literal")
 
 
 def _grams(text: str, n: int) -> np.ndarray:
@@ -230,43 +289,105 @@ def _gram_meets(chunks: DataFrame, odd: DataFrame) -> DataFrame:
     return held.join(anchors, ["n", "gram"]).select("id", "literal")
 
 
+#: ASCII letters and digits, by byte.
+_ALNUM = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
+
+
+def _word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of the words of at least WORD ASCII letters and digits in a column of texts, straight from its bytes."""
+    column = column.cast(pa.large_string())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]] if len(column) else np.zeros(0, np.uint8)
+    inside = _ALNUM[data]
+    inside_next = np.append(inside, False)
+    cut = np.zeros(len(data) + 1, bool)
+    cut[ends - ends[0] if len(ends) else 0] = True  # no word goes from one text to the next
+    begins = np.flatnonzero(inside & (~np.concatenate([[False], inside[:-1]]) | cut[:-1]))
+    stops = np.flatnonzero(inside & (~inside_next[1:] | cut[1:])) + 1
+    keep = stops - begins >= WORD
+    begins, stops = begins[keep], stops[keep]
+    if not len(begins):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        # Sums of bytes times powers of an odd number; taking the power of the word's start away again is a product with its inverse.
+        power = np.cumprod(np.full(int(data.size), np.uint64(_ODD)))
+        total = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power)])
+        h = (total[stops] - total[begins]) * np.cumprod(np.full(int(data.size), np.uint64(_INVERSE)))[begins]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(32))) + (stops - begins).astype(np.uint64)
+    return np.searchsorted(ends - ends[0], begins, side="right") - 1, h.view(np.int64)
+
+
+_ODD = 0x9E3779B97F4A7C15
+_INVERSE = pow(_ODD, -1, 1 << 64)
+
+
+def _secret_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, h = _word_hashes(batch.column("literal"))
+        yield pa.RecordBatch.from_arrays([batch.column("literal").take(pa.array(row)), pa.array(h)], ["literal", "word"])
+
+
+def _word_meets(chunks: DataFrame, words: DataFrame) -> DataFrame:
+    """(id, literal) of chunks and the secrets whose rarest word they hold. ``words``: (literal, word)."""
+    spark = chunks.sparkSession
+    bits = words.select(F.expr(f"word & {2 ** WORD_BITS - 1}").alias("bit")).distinct().toArrow()["bit"].to_numpy()  # at most 2^WORD_BITS
+    bitmap = np.zeros(2 ** WORD_BITS, bool)
+    bitmap[bits] = True
+    sent = spark.sparkContext.broadcast(np.packbits(bitmap))  # fixed size
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(sent.value).astype(bool)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                row, h = _word_hashes(batch.column("raw_body"))
+                on = known[h & (2 ** WORD_BITS - 1)]
+                got = pa.table({"id": batch.column("id").take(pa.array(row[on])), "word": pa.array(h[on])}).group_by(["id", "word"]).aggregate([])
+                yield from got.select(["id", "word"]).to_batches() or [pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["id", "word"])]
+
+    held = written(chunks.where("raw_body is not null").select("id", "raw_body").mapInArrow(scan, "id long, word long"), "held")
+    seen = held.groupBy("word").agg(F.count("*").alias("n"))
+    anchors = words.join(seen, "word").groupBy("literal").agg(F.min(F.struct("n", "word")).alias("s")).select("literal", "s.word")
+    return held.join(anchors, "word").select("id", "literal")
+
+
 def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import ahocorasick
 
     for batch in batches:
         ids, found = [], []
-        for chunk, body, secrets in zip(*(batch.column(n).to_pylist() for n in ("id", "raw_body", "secrets"))):
-            auto = ahocorasick.Automaton()
-            for v in secrets:
-                auto.add_word(v, v)
+        auto = ahocorasick.Automaton()
+        for v in {v for secrets in batch.column("secrets").to_pylist() for v in secrets}:
+            auto.add_word(v, v)
+        if len(auto):
             auto.make_automaton()
-            seen = set()
-            for end, v in auto.iter(body):
-                a, b = end - len(v) + 1, end + 1
-                if v not in seen and not (a and body[a - 1].isalnum() and v[0].isalnum()) and not (b < len(body) and body[b].isalnum() and v[-1].isalnum()):
-                    seen.add(v)
-            ids += [chunk] * len(seen)
-            found += sorted(seen)
+            for chunk, body in zip(batch.column("id").to_pylist(), batch.column("raw_body").to_pylist()):
+                seen = set()
+                for end, v in auto.iter(body):
+                    a, b = end - len(v) + 1, end + 1
+                    if v not in seen and not (a and body[a - 1].isalnum() and v[0].isalnum()) and not (b < len(body) and body[b].isalnum() and v[-1].isalnum()):
+                        seen.add(v)
+                ids += [chunk] * len(seen)
+                found += sorted(seen)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["chunk_id", "secret"])
 
 
 def rescan(chunks: DataFrame, secrets: DataFrame) -> DataFrame:
     """(chunk_id, secret) for every chunk in which a confirmed secret stands as a whole."""
-    anchored = secrets.select("literal", F.expr("reduce(regexp_extract_all(literal, '[A-Za-z0-9]+', 0), '', (a, w) -> if(length(w) > length(a), w, a))").alias("word"))
-    words = chunks.where("raw_body is not null").select("id", F.explode(F.array_distinct(F.filter(F.split("raw_body", "[^A-Za-z0-9]+"), lambda w: F.length(w) >= WORD))).alias("word"))
-    meets = words.join(anchored.where(F.length("word") >= WORD), "word").select("id", "literal")
-    odd = anchored.where(F.length("word") < WORD).select("literal")
+    words = written(secrets.mapInArrow(_secret_words, "literal string, word long").distinct(), "words")
+    meets = _word_meets(chunks, words)
+    odd = secrets.join(words.select("literal").distinct(), "literal", "left_anti")
     if not odd.isEmpty():
         meets = meets.unionByName(_gram_meets(chunks, odd))
-    meets = meets.groupBy("id").agg(F.collect_set("literal").alias("secrets"))
-    return chunks.select("id", "raw_body").join(meets, "id").mapInArrow(_hits, "chunk_id long, secret string")
+    meets = meets.groupBy("id").agg(F.collect_set("literal").alias("secrets"))  # bounded by the chunk's own words
+    return chunks.where("raw_body is not null").select("id", "raw_body").join(meets, "id").mapInArrow(_hits, "chunk_id long, secret string")
 
 
 def secrets(chunks: DataFrame) -> DataFrame:
     """(chunk_id, secret): index, suppress, confirm and re-scan."""
     index = written(literals(chunks), "literals")
-    files = chunks.agg(F.approx_count_distinct("file_id")).first()[0]
-    sure = written(confirmed(index, files), "secrets")
+    sure = written(confirmed(index), "secrets")
     proposed = index.join(sure, "literal", "left_semi").select("chunk_id", F.col("literal").alias("secret"))
     return rescan(chunks, sure).unionByName(proposed).distinct()
 
@@ -282,13 +403,72 @@ def blanked(body: str, values: list[str]) -> str:
     return body
 
 
+# ---- keys that windows cut --------------------------------------------------------------------------------------------------
+_MARK = re.compile(r"-----(BEGIN|END) (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+_KEY_LINE = re.compile(r"[ \t]*(?:[A-Za-z0-9+/=]{16,}|[A-Za-z0-9+/]*={0,2}|[A-Za-z\-]+: .*)[ \t\\\"'`,;+n]*\r?")
+MIDDLE, HEAD, TAIL = 1, 2, 4
+
+
+def key_part(body: str | None) -> int:
+    """What a window may hold of a key that it does not hold whole: HEAD its end, TAIL its beginning, MIDDLE nothing but key lines."""
+    if not body:
+        return 0
+    marks = [m.group(1) for m in _MARK.finditer(body)]
+    if not marks:
+        return MIDDLE if all(_KEY_LINE.fullmatch(x) for x in body.split("\n")) and body.strip() else 0
+    return (HEAD if marks[0] == "END" else 0) | (TAIL if marks[-1] == "BEGIN" else 0)
+
+
+def blank_parts(body: str, parts: int) -> str:
+    """``body`` with the given parts of cut keys blanked."""
+    stars = lambda text: re.sub(r"[^\r\n]", "*", text)
+    if parts & MIDDLE:
+        return stars(body)
+    marks = list(_MARK.finditer(body))
+    if parts & TAIL and marks:
+        body = body[:marks[-1].start()] + stars(body[marks[-1].start():])
+    if parts & HEAD and marks:
+        body = stars(body[:marks[0].end()]) + body[marks[0].end():]
+    return body
+
+
+def cut_keys(chunks: DataFrame) -> DataFrame:
+    """(id, parts) of the windows that hold a part of a private key. ``chunks``: id, file_id, start_line, end_line, raw_body.
+
+    Ends and beginnings stand for themselves; a window of key lines alone counts if the window before it, line for line, leaves a key open.
+    Only windows with such parts are put in order, so a file of any size costs its few windows with keys.
+    """
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = np.array([key_part(b) for b in batch.column("raw_body").to_pylist()], np.int32)
+            at = pa.array(np.flatnonzero(parts))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).take(at) for n in ("id", "file_id", "start_line", "end_line")), pa.array(parts).take(at)], ["id", "file_id", "start_line", "end_line", "parts"])
+
+    some = chunks.where("raw_body is not null").select("id", "file_id", *[F.col(c).cast("long").alias(c) for c in ("start_line", "end_line")], "raw_body").mapInArrow(
+        scan, "id long, file_id long, start_line long, end_line long, parts int")
+    w = Window.partitionBy("file_id").orderBy("start_line", "end_line", "id")
+    # A run of windows that follow each other without a gap; a key is open in it after a beginning.
+    some = some.withColumn("gap", F.coalesce((F.col("start_line") > F.lag("end_line").over(w) + 1).cast("int"), F.lit(1))).withColumn("run", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    before = Window.partitionBy("file_id", "run").orderBy("start_line", "end_line", "id").rowsBetween(Window.unboundedPreceding, -1)
+    marked = F.when(F.col("parts") != MIDDLE, F.col("parts").bitwiseAND(TAIL))
+    some = some.withColumn("open", F.coalesce(F.last(marked, ignorenulls=True).over(before), F.lit(0)) > 0)
+    return some.where((F.col("parts") != MIDDLE) | F.col("open")).select("id", "parts")
+
+
 def redacted(chunks: DataFrame) -> DataFrame:
-    """(id, raw_body) of all chunks, secrets blanked in place."""
-    per = secrets(chunks).groupBy("chunk_id").agg(F.collect_set("secret").alias("secrets"))
+    """(id, raw_body) of all chunks, secrets blanked in place, parts of cut keys too where the windows' lines are known."""
+    per = secrets(chunks).groupBy(F.col("chunk_id").alias("id")).agg(F.collect_set("secret").alias("secrets"))
+    found = per.withColumn("parts", F.lit(0))
+    if {"start_line", "end_line"} <= set(chunks.columns):
+        cut = cut_keys(chunks).groupBy("id").agg(F.max("parts").alias("parts"))
+        found = per.join(cut, "id", "full_outer").withColumn("parts", F.coalesce("parts", F.lit(0)))
 
     def wipe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies = [blanked(b, s) if b and s else b for b, s in zip(batch.column("raw_body").to_pylist(), batch.column("secrets").to_pylist())]
+            bodies = []
+            for body, values, parts in zip(*(batch.column(n).to_pylist() for n in ("raw_body", "secrets", "parts"))):
+                body = blanked(body, values) if body and values else body
+                bodies.append(blank_parts(body, parts) if body and parts else body)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bodies, pa.string())], ["id", "raw_body"])
 
-    return chunks.select("id", "raw_body").join(per.withColumnRenamed("chunk_id", "id"), "id", "left").mapInArrow(wipe, "id long, raw_body string")
+    return chunks.select("id", "raw_body").join(found, "id", "left").mapInArrow(wipe, "id long, raw_body string")
