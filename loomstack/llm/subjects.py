@@ -216,12 +216,22 @@ def posteriors(ev: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 # ---- the distributed part ---------------------------------------------------------------------------------------------------
 LANGUAGES = 15
-FEATURES = "doc_id long, lang int, fold int, subjects array<int>, feats array<int>, lens array<int>"
+#: ``feats`` holds the features of all segments as 16 bit numbers, ``lens`` the features of each segment as 32 bit numbers.
+FEATURES = "doc_id long, lang int, fold int, subjects array<int>, feats binary, lens binary"
 CELLS = "cell long, value double"
 
 
-def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values.astype(np.int32)))
+def _blobs(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Consecutive runs of a numeric array as binary values."""
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _numbers(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(values, length of each row) of a column written by ``_blobs``."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]] if len(column) else np.zeros(0, np.uint8)
+    return data.view(kind), np.diff(ends) // np.dtype(kind).itemsize
 
 
 def featured(documents: DataFrame, labels: DataFrame, subjects: list[str], langs: list[str]) -> DataFrame:
@@ -240,7 +250,7 @@ def featured(documents: DataFrame, labels: DataFrame, subjects: list[str], langs
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id"), pa.array([place.get(x, len(langs)) for x in batch.column("lang").to_pylist()], pa.int32()), batch.column("fold"),
                     pa.array([None if n is None else [index[x] for x in n] for n in batch.column("names").to_pylist()], pa.list_(pa.int32())),
-                    _lists(feats, per), _lists(lens, per_doc)], ["doc_id", "lang", "fold", "subjects", "feats", "lens"])
+                    _blobs(feats.astype(np.uint16), per), _blobs(lens.astype(np.int32), per_doc)], ["doc_id", "lang", "fold", "subjects", "feats", "lens"])
 
     d = documents.select("doc_id", "text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"))
     return d.join(known, "doc_id", "left").mapInArrow(scan, FEATURES)
@@ -250,12 +260,13 @@ class _Docs:
     """A slice of a batch of FEATURES rows, flat."""
 
     def __init__(self, batch: pa.RecordBatch, classes: int):
-        lens, feats, known = batch.column("lens"), batch.column("feats"), batch.column("subjects")
-        seg = lens.flatten().to_numpy().astype(np.int64)
+        known = batch.column("subjects")
+        seg, per_doc = _numbers(batch.column("lens"), np.int32)
+        seg = seg.astype(np.int64)
         self.ids, self.lang, self.fold, self.subjects = batch.column("doc_id"), batch.column("lang").to_numpy(), batch.column("fold").to_numpy(), known
-        self.feats = feats.flatten().to_numpy()
+        self.feats, _ = _numbers(batch.column("feats"), np.uint16)
         self.starts = np.concatenate([[0], np.cumsum(seg)[:-1]]).astype(np.int64) if len(seg) else np.zeros(0, np.int64)
-        self.per_doc = lens.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        self.per_doc = per_doc.astype(np.int64)
         self.seg_len = seg
         self.doc_of_seg = np.repeat(np.arange(batch.num_rows), self.per_doc)
         self.seg_of_feat = np.repeat(np.arange(len(seg)), seg)
@@ -294,12 +305,21 @@ class Sums:
     def __sub__(self, other: "Sums") -> "Sums":
         return Sums(self.counts - other.counts, self.mass - other.mass, self.by_lang - other.by_lang)
 
+    def completed(self) -> "Sums":
+        """With the background's counts: what the subjects leave of the features."""
+        self.counts[:, -1] = np.maximum(self.by_lang.sum(axis=1) - self.counts[:, :-1].sum(axis=1), 0)
+        return self
+
     def weights(self) -> np.ndarray:
         return weights(self.counts, self.mass, self.by_lang)
 
 
+#: A share of a segment below this counts for nothing.
+LEAST_SHARE = 1e-3
+
+
 def _sums(features: DataFrame, classes: int, langs: int, w: np.ndarray | None, with_langs: bool = True, folds: int = 1) -> list[Sums]:
-    """Sums over all documents of ``features``, by fold if there are several.
+    """Sums over all documents of ``features``, by fold if there are several; the background's counts are left out.
 
     Every task adds up dense arrays of the model's fixed size and sends their cells that are not zero.
     """
@@ -307,19 +327,24 @@ def _sums(features: DataFrame, classes: int, langs: int, w: np.ndarray | None, w
     block = (BUCKETS + langs) * width
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros((folds, BUCKETS + langs, width))
+        cells = np.zeros((folds, width, BUCKETS + langs))
         for d in _slices(batches, classes):
-            r, lang, fold = d.shares(w), d.lang[d.doc_of_seg], d.fold[d.doc_of_seg] if folds > 1 else np.zeros(len(d.starts), np.int64)
+            r, lang = d.shares(w), d.lang[d.doc_of_seg]
+            fold = d.fold[d.doc_of_seg] if folds > 1 else np.zeros(len(d.starts), np.int64)
+            r[r < LEAST_SHARE] = 0
             for f in np.unique(fold):
-                mine = (fold == f)[d.seg_of_feat]
-                feats, seg = d.feats[mine], d.seg_of_feat[mine]
-                for c in range(classes):
-                    cells[f, :BUCKETS, c] += np.bincount(feats, weights=r[seg, c], minlength=BUCKETS)
-                for k in np.unique(lang[fold == f]):
-                    pick = (lang == k) & (fold == f)
-                    cells[f, BUCKETS + k, :classes] += (r[pick] * d.seg_len[pick, None]).sum(axis=0)
+                mine = fold == f
+                for c in range(classes - 1):
+                    seg = np.flatnonzero(mine & (r[:, c] > 0))
+                    if len(seg):
+                        n = d.seg_len[seg]
+                        at = np.repeat(d.starts[seg] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                        cells[f, c, :BUCKETS] += np.bincount(d.feats[at], weights=np.repeat(r[seg, c], n), minlength=BUCKETS)
+                for k in np.unique(lang[mine]):
+                    pick = (lang == k) & mine
+                    cells[f, :classes, BUCKETS + k] += (r[pick] * d.seg_len[pick, None]).sum(axis=0)
                     if with_langs:
-                        cells[f, :BUCKETS, classes + k] += np.bincount(d.feats[pick[d.seg_of_feat]], minlength=BUCKETS)
+                        cells[f, classes + k, :BUCKETS] += np.bincount(d.feats[pick[d.seg_of_feat]], minlength=BUCKETS)
         cells = cells.ravel()
         at = np.flatnonzero(cells)
         for a in range(0, len(at), 50_000):
@@ -329,7 +354,7 @@ def _sums(features: DataFrame, classes: int, langs: int, w: np.ndarray | None, w
     got = _few(features).mapInArrow(scan, CELLS).groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
     cells = np.zeros(folds * block)
     cells[got["cell"].to_numpy()] = got["value"].to_numpy()
-    cells = cells.reshape(folds, BUCKETS + langs, width)
+    cells = cells.reshape(folds, width, BUCKETS + langs).swapaxes(1, 2)
     return [Sums(x[:BUCKETS, :classes], x[BUCKETS:, :classes], x[:BUCKETS, classes:]) for x in cells]
 
 
@@ -341,9 +366,9 @@ def train(features: DataFrame, classes: int, langs: int) -> tuple[np.ndarray, li
         before, total = w, _sums(features, classes, langs, w, with_langs=by_lang is None)[0]
         by_lang = total.by_lang if by_lang is None else by_lang  # the same in every round
         total.by_lang = by_lang
-        w = total.weights()
+        w = total.completed().weights()
     own = _sums(labelled, classes, langs, before, folds=FOLDS)
-    return w, [(total - s).weights() for s in own]
+    return w, [(total - s.completed()).weights() for s in own]
 
 
 def calibrate(features: DataFrame, classes: int, held_out: list[np.ndarray]) -> tuple[np.ndarray, float]:
