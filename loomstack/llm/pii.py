@@ -2,19 +2,22 @@
 
 Regular expressions propose spans; checksums (Luhn, mod 97, ISO 7064, the weighted sums of national numbers) and nearby context words
 move the score of a span, and a span counts from THRESHOLD on. Types are tried from the most to the least specific and a span taken
-by one is closed to the next, so that a name inside an e-mail address is no name. Names need evidence: known name parts, or a context
-that introduces a person; words that are only capitalised are no names.
+by one is closed to the next, so that a name inside an e-mail address is no name. Names need evidence: known name parts, or words nearby
+that speak of a person (labels, titles, salutations, relations, verbs of talking and meeting, in the four languages of the corpus); words that
+are only capitalised are no names.
 
 One pass of Arrow batches, no shuffle but the final distinct, which is local to the rows of one content. Rows without any trigger
 (Aho-Corasick automata over known name parts and context words, and expressions for digits and contexts) leave the pass at once.
 
 Defined results: null and empty texts give no rows and stay as they are; texts of any length are read whole; a value that occurs
 several times in a field is reported once; repeated content ids are treated as one content; an empty name list leaves names to
-context alone.
+context alone; a name list of any size gives the same result: up to MAX_NAME_PARTS it goes to every task, a longer one is joined with the
+words of the texts.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 from loomstack.runtime import table
 
 THRESHOLD = 0.6
-#: The list of known name parts is a dictionary, sent to every task; beyond this size it would have to be joined instead.
-MAX_NAME_PARTS = 1_000_000
+#: The list of known name parts is a dictionary, sent to every task; beyond this size it is joined with the words of the texts instead.
+MAX_NAME_PARTS = 50_000
 
 # ---- shapes -----------------------------------------------------------------------------------------------------------------
 _LOCAL = r"[A-Za-z0-9][A-Za-z0-9._%+'\-]*"
@@ -49,10 +52,10 @@ PHONES = tuple(re.compile(p + _EXT + r"(?![\w])(?!\.\d)") for p in (
     r"(?<![\w+.\-/])0\d{2,4}/ ?\d{3,8}(?:-\d{1,4})?",  # 030/23125-171
     r"(?<![\w+.\-/])0\d{2,4} \d{3,4} \d{3,4}",  # 020 7946 0186
     r"(?<![\w+.\-/])0\d{1,4}-\d{1,4}-\d{4}",  # 03-0173-0065
-    r"(?<![\w+.\-/])1[2-9]\d{2}[2-9]\d{6}",  # 14155550169
+    r"(?<![\w+.\-/])1?[2-9]\d{2}[2-9]\d{6}",  # 14155550169
     r"(?<![０-９])０[０-９]{1,4}[－‐−\-][０-９]{1,4}[－‐−\-][０-９]{4}(?![０-９])",
 ))
-BARE_PHONE = re.compile(r"1\d{10}$")
+BARE_PHONE = re.compile(r"1?\d{10}$")
 PHONE_CONTEXT = re.compile(r"(?:phone|tel|call|ring|fax|mobil|連絡先|電話|whatsapp)[^\n]{0,24}$", re.I)
 NOT_PHONE_CONTEXT = re.compile(r"(?:ssn|passport|national id|id_no|steuer-id|iban|ticket)\W{0,12}(?:number\W)?$", re.I)
 
@@ -79,20 +82,47 @@ ADDRESS_DE = re.compile(
 ADDRESS_FR = re.compile(
     r"(?<![\w.])\d{1,4}(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|av\.|boulevard|bd|impasse|quai|place|chemin|allée|cours|route|passage|square|sentier|villa)"
     rf"(?: [\w'’À-ÿ\-]+){{1,6}}, (?:F-)?\d{{5}} {_TOWN_1}")
+#: Streets that open with their kind and close with their number, as in Spanish, Italian and Portuguese.
+ADDRESS_ES = re.compile(
+    r"(?<![\w])(?:Calle|C/|Avenida|Avda\.?|Plaza|Paseo|Camino|Via|Viale|Piazza|Corso|Rua|Travessa|Largo)(?: (?:de|del|de la|de los|da|do|dos|das|della|dei|di))?"
+    rf"(?: [A-ZÀ-ÖØ-Þ][\w'’\-]+){{1,4}},? (?:n[.º°]{{0,2}} ?)?\d{{1,4}}[A-Za-z]?, (?:\d{{5}}|\d{{4}}-\d{{3}}) {_TOWN_1}")
 ADDRESS_JA = re.compile(
     r"(?:〒?[0-9０-９]{3}[-－][0-9０-９]{4}[ 　]?)?[一-鿿々ヶ]{2,3}?[都道府県][一-鿿々ヶぁ-ゖァ-ヺー]{1,24}?[0-9０-９]{1,4}(?:(?:[-－‐−]|丁目|番地?)[0-9０-９]{1,4}){0,3}号?")
 
 # ---- names ------------------------------------------------------------------------------------------------------------------
 TOKEN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]{2,})*")
 HAN = "一-鿿々ヶ"
+_TITLE = r"\b(?:dr|prof|mr|mrs|(?<!\d)(?<!\d )ms|herrn?|frau|mme|mlle)\.? "
 STRONG_LEFT = re.compile(
     r"(?:\b(?:full_?|user_?|first_?|last_?)?name[\"']?\s*[:=]\s*[\"']?|\bfor user |\bbelongs to |\btalked to |\bcustomer: |担当は ?|(?:signed-off|co-authored|reviewed|acked|tested)-by: "
-    r"|\b(?:kontakt|contact|ansprechpartner): |--owner[ =][\"']?|--author[ =][\"']?|\b(?:dr|prof|mr|mrs|(?<!\d)(?<!\d )ms|herr|frau|mme)\.? )$", re.I)
+    rf"|\b(?:kontakt|contact|ansprechpartner): |--owner[ =][\"']?|--author[ =][\"']?|{_TITLE})$", re.I)
+#: Ways to speak of or to a person; they introduce only words that are written like names.
+SPOKEN = (
+    r"\b(?:client|patient|ansprechpartnerin|attn|assignee|owner|author|reporter|requester|recipient|sender|employee|mitarbeiter(?:in)?|kund(?:e|in)|responsable|auteur|cliente): "
+    r"|(?:reported|suggested|requested)-by: "
+    r"|\b(?:my|our|his|her|their|your|the) (?:colleague|coworker|co-worker|manager|boss|friend|neighbou?r|teammate|client|customer|patient|sister|brother|wife|husband|mother|father|doctor|lawyer|landlord|tenant|intern|assistant)(?: called| named|,)? "
+    r"|\b(?:meine?|unsere?|der|die|seine?|ihre?) (?:kolleg(?:e|in)|chef(?:in)?|freund(?:in)?|kund(?:e|in)|nachbar(?:in)?|schwester|bruder|frau|mann|ärztin|arzt) "
+    r"|\b(?:mon|ma|notre|son|sa|votre) (?:collègue|cheff?e?|amie?|voisine?|cliente?|patron(?:ne)?|sœur|frère|femme|mari|médecin) "
+    r"|\b(?:dear|hello|hi|hey|hallo|liebe|lieber|guten tag|bonjour|bonsoir|cher|chère|thanks|thank you|danke|merci|regards|cheers|sincerely|grüßen?|cordialement),? "
+    r"|\b(?:spoke|speak|speaking|talked|talk|talking|met|meet|meeting|chatted|chat|lunch|interview|appointment) (?:to|with) "
+    r"|\b(?:assigned|reports|escalated|handed over|addressed|introduced) to |\bon behalf of |\bmy name is |\bich heiße |\bje m'appelle |\bnamens |\bnommée? "
+    r"|\b(?:written|reported|owned|approved|reviewed|managed|signed|requested|filed|hired|taught) (?:by|with) "
+    r"|\b(?:ask|asked|told|tell|emailed|phoned|invited?|pinged|contacted|remind|notified|met) "
+    r"|\b(?:sprach|spreche|gesprochen|telefoniert|treffen) mit |\b(?:frage?|fragt|rufe?|informiere?|traf) "
+    r"|\b(?:parlé|parler|discuté|rendez-vous) (?:à|avec) |\b(?:joindre|contacter|appeler|rencontrer|rencontré|demandez à|prévenir) ")
+SPOKEN_LEFT = re.compile(rf"(?:{SPOKEN})$", re.I)
 WEAK_LEFT = re.compile(r"(?:\bvon |\bby |\bfrom |\bwith |echo [\"'])$", re.I)
-TITLE_LEFT = re.compile(r"\b(?:dr|prof|mr|mrs|(?<!\d)(?<!\d )ms|herr|frau|mme)\.? $", re.I)
-RIGHT = re.compile(r"'s machine| id_no| street=|’s machine| ?さん| <|, reachable| asked for this| darf nicht|;|\"")
-TITLES = frozenset("dr prof mr mrs ms herr frau mme sir madam".split())
-STOP_NAMES = OPENERS | frozenset("User Name Owner Phone Address Street Mail Email Error Worker Branch Relay Server Session Team Test File".split())
+TITLE_LEFT = re.compile(rf"{_TITLE}$", re.I)
+#: What follows a person, written in any way.
+_RIGHT = r"['’]s machine| id_no| street=| ?さん| <|, reachable| asked for this| darf nicht"
+RIGHT = re.compile(_RIGHT + r"|;|\"")
+#: What people do and own; it follows only words that are written like names.
+SAID = (r"['’]s (?:laptop|desk|phone|account|badge|inbox|calendar|office|house|birthday|manager|e-?mail|passport)\b"
+        r"| (?:said|says|asked|wrote|told|replied|promised|agreed|mentioned|complained|apologi[sz]ed|joined us|called me|emailed|lives (?:in|at)|works (?:at|for))\b"
+        r"| (?:sagte?|schrieb|meinte|fragte|wohnt|arbeitet|bittet)\b| (?:a (?:dit|écrit|demandé|appelé)|habite|travaille)\b| ?(?:様|氏|先生)")
+SAID_RIGHT = re.compile(SAID)
+TITLES = frozenset("dr prof mr mrs ms herr herrn frau mme mlle sir madam".split())
+STOP_NAMES = OPENERS | frozenset("User Name Owner Phone Address Street Mail Email Error Worker Branch Relay Server Session Team Test File World There All Everyone Folks Again Much Very Me Him Them Us Support Engineering Security Studio Cloud Code Hub".split())
 
 
 @dataclass(frozen=True)
@@ -160,16 +190,17 @@ IDS = (
 
 
 class Spans:
-    """Non-overlapping spans of one text."""
+    """Non-overlapping spans of one text, kept in order."""
 
     def __init__(self) -> None:
         self.at: list[tuple[int, int, str]] = []
 
     def free(self, a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y, _ in self.at)
+        k = bisect.bisect_left(self.at, (b,))  # the spans that start before b; the last of them ends last
+        return not k or self.at[k - 1][1] <= a
 
     def add(self, a: int, b: int, kind: str) -> None:
-        self.at.append((a, b, kind))
+        bisect.insort(self.at, (a, b, kind))
 
 
 def _mails(t: str, s: Spans) -> None:
@@ -202,7 +233,7 @@ def _addresses(t: str, s: Spans) -> None:
         end = zipped.end() if zipped else end
         if s.free(m.start(), end):
             s.add(m.start(), end, "ADDRESS")
-    for rx in (ADDRESS_DE, ADDRESS_FR, ADDRESS_JA):
+    for rx in (ADDRESS_ES, ADDRESS_DE, ADDRESS_FR, ADDRESS_JA):
         for m in rx.finditer(t):
             if s.free(*m.span()):
                 s.add(*m.span(), "ADDRESS")
@@ -254,7 +285,7 @@ def _names(t: str, s: Spans, lex: Lexicon) -> None:
         if s.free(*m.span()):
             s.add(*m.span(), "NAME")
     for m in lex.cjk["any"].finditer(t):
-        if s.free(*m.span()) and (STRONG_LEFT.search(t[max(0, m.start() - 30):m.start()]) or RIGHT.match(t, m.end()) and t[m.end()] != ";"):
+        if s.free(*m.span()) and (STRONG_LEFT.search(t[max(0, m.start() - 30):m.start()]) or RIGHT.match(t, m.end()) and t[m.end()] != ";" or SAID_RIGHT.match(t, m.end())):
             s.add(*m.span(), "NAME")
     toks = [m for m in TOKEN.finditer(t)]
     i = 0
@@ -292,7 +323,11 @@ def _name_at(t: str, toks: list, i: int, s: Spans, lex: Lexicon) -> int:
     if not s.free(a.start(), b.end()):
         return 0
     if known < 2:
-        before = t[max(0, a.start() - 30):a.start()]
+        before = t[max(0, a.start() - 40):a.start()]
+        if (style == "W" or initial) and len(y) > 2 and (initial or len(x) > 1) and (SPOKEN_LEFT.search(before) or SAID_RIGHT.match(t, b.end())):
+            s.add(a.start(), b.end(), "NAME")
+            return last + 1
+        before = before[-30:]
         strong = STRONG_LEFT.search(before) is not None
         right = RIGHT.match(t, b.end()) is not None
         weak = right or WEAK_LEFT.search(before) is not None
@@ -320,7 +355,7 @@ def detect(text: str | None, lex: Lexicon) -> list[tuple[int, int, str]]:
     _ids(text, s)
     _phones(text, s)
     _names(text, s, lex)
-    return sorted(x for x in s.at if x[2])
+    return [x for x in s.at if x[2]]
 
 
 def redact(text: str | None, lex: Lexicon) -> str | None:
@@ -338,23 +373,38 @@ def redact(text: str | None, lex: Lexicon) -> str | None:
 # What each part of detect() cannot do without; the trigger has to hold wherever detect() finds something, so a change there needs one here.
 #: Openings of the addresses, numbers and phones; a phone has 9 digits with at most three signs between two of them.
 SHAPES = re.compile(
-    r"\d(?:[ .\-/()]{0,3}\d){8}|[０-９]{2}|, (?:[DF]-)?\d{5} [A-ZÀ-ÖØ-Þ]|"
+    r"\d(?:[ .\-/()]{0,3}\d){8}|[０-９]{2}|, (?:[DF]-)?(?:\d{5}|\d{4}-\d{3}) [A-ZÀ-ÖØ-Þ]|"
     rf"\d[A-Za-z]? (?:[A-Z][a-z]+\.? ){{1,4}}?{_STREET_EN}\b|[都道府県][一-鿿々ヶぁ-ゖァ-ヺー]{{1,24}}?[0-9０-９]|"
     r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]\d{3}[A-Z]{3}\d{3}|[CFGHJKLMNPRTVWXYZ][0-9CFGHJKLMNPRTVWXYZ]{8}\d")
 SPELT_AT = re.compile(r"[\[({]\s*at\s*[\])}]", re.I)
 _LETTER = r"[^\W\d_]"
 #: Names of unknown parts: every left context with a letter behind it, every right context with a letter ahead, and a weak left one with a closing sign.
-#: Left contexts are searched in the 30 characters before a name, where a word may begin that is cut in the text; only ``name`` reaches that far.
+#: Left contexts are searched in the characters before a name, where a word may begin that is cut in the text; only ``name`` reaches that far.
 #: Their $ also matches ahead of a line end.
 CONTEXT = re.compile(
     rf"name[\"']?\s*[:=]\s*[\"']?\n?{_LETTER}|(?:\bfor user |\bbelongs to |\btalked to |\bcustomer: |担当は ?|(?:signed-off|co-authored|reviewed|acked|tested)-by: "
-    rf"|\b(?:kontakt|contact|ansprechpartner): |--(?:owner|author)[ =][\"']?|\b(?:dr|prof|mr|mrs|ms|herr|frau|mme)\.? )\n?{_LETTER}"
-    rf"|{_LETTER}(?:['’]s machine| id_no| street=| ?さん| <|, reachable| asked for this| darf nicht)|[{HAN}]\""
+    rf"|\b(?:kontakt|contact|ansprechpartner): |--(?:owner|author)[ =][\"']?|\b(?:dr|prof|mr|mrs|ms|herrn?|frau|mme|mlle)\.? )\n?{_LETTER}"
+    rf"|{_LETTER}(?:{_RIGHT})|[{HAN}]\""
     rf"|(?:\bvon |\bby |\bfrom |\bwith |echo [\"'])\n?{_LETTER}(?:{_LETTER}|['’\-])*(?:,? |\. )(?:{_LETTER}\. )?{_LETTER}(?:{_LETTER}|['’\-])*[;\"]", re.I)
-#: Words of CONTEXT, in lower case, one of which stands wherever it matches.
-CUES = ("name", "for user ", "belongs to ", "talked to ", "customer: ", "担当は", "-by: ", "kontakt: ", "contact: ", "ansprechpartner: ", "--owner", "--author",
-        *(f"{t}{dot} " for t in ("dr", "prof", "mr", "mrs", "ms", "herr", "frau", "mme") for dot in ("", ".")),
-        "s machine", " id_no", " street=", "さん", " <", ", reachable", " asked for this", " darf nicht", '"', "von ", "by ", "from ", "with ", "echo '")
+#: The ways of SPOKEN_LEFT ahead of a letter that is no small one.
+SPOKEN_TO = re.compile(rf"(?i:{SPOKEN})\n?(?![a-z]){_LETTER}")
+#: Words in lower case, one of which stands wherever CONTEXT, SPOKEN_TO and SAID_RIGHT match.
+CUES = (
+    ("name", "for user ", "belongs to ", "talked to ", "customer: ", "担当は", "-by: ", "kontakt: ", "contact: ", "ansprechpartner: ", "--owner", "--author",
+     *(f"{t}{dot} " for t in ("dr", "prof", "mr", "mrs", "ms", "herr", "herrn", "frau", "mme", "mlle") for dot in ("", ".")),
+     "s machine", " id_no", " street=", "さん", " <", ", reachable", " asked for this", " darf nicht", '"', "von ", "by ", "from ", "with ", "echo '"),
+    (*(f"{w}: " for w in ("client", "patient", "ansprechpartnerin", "attn", "assignee", "owner", "author", "reporter", "requester", "recipient", "sender", "employee", "mitarbeiter", "mitarbeiterin", "kunde", "kundin", "responsable", "auteur", "cliente")), "-by: ",
+     "colleague", "coworker", "co-worker", "manager", "boss", "friend", "neighbo", "teammate", "client", "customer", "patient", "sister", "brother", "wife", "husband", "mother", "father", "doctor", "lawyer", "landlord", "tenant", "intern ", "intern,", "intern called",
+     "intern named", "assistant", "kolleg", "chef", "freund", "kund", "nachbar", "schwester", "bruder", " frau ", " mann ", "ärztin", "arzt", "collègue", "ami ", "amie ", "voisin", "patron", "sœur", "frère", "femme", "mari ", "médecin",
+     "dear", "hello", "hi ", "hi,", "hey", "hallo", "liebe", "guten tag", "bonjour", "bonsoir", "cher ", "cher,", "chère", "thank", "danke", "merci", "regards", "cheers", "sincerely", "grüße", "cordialement",
+     *(f"{v} {w} " for v in ("spoke", "speak", "speaking", "talked", "talk", "talking", "met", "meet", "meeting", "chatted", "chat", "lunch", "interview", "appointment") for w in ("to", "with")),
+     "assigned to ", "reports to ", "escalated to ", "handed over to ", "addressed to ", "introduced to ", "on behalf of ", "my name is ", "ich heiße ", "je m'appelle ", "namens ", "nommé",
+     *(f"{v} {w} " for v in ("written", "reported", "owned", "approved", "reviewed", "managed", "signed", "requested", "filed", "hired", "taught") for w in ("by", "with")),
+     "ask ", "asked ", "told ", "tell ", "emailed ", "phoned ", "invite", "pinged ", "contacted ", "remind ", "notified ", "met ", *(f"{v} mit " for v in ("sprach", "spreche", "gesprochen", "telefoniert", "treffen")), "frag ", "frage ", "fragt ", "ruf ", "rufe ",
+     "informier", "traf ", *(f"{v} {w} " for v in ("parlé", "parler", "discuté", "rendez-vous") for w in ("à", "avec")), "joindre ", "contacter ", "appeler ", "rencontrer ", "rencontré ", "demandez à ", "prévenir "),
+    (*(f"s {w}" for w in ("laptop", "desk", "phone", "account", "badge", "inbox", "calendar", "office", "house", "birthday", "manager", "email", "e-mail", "passport")), "様", "氏", "先生",
+     *(f" {w}" for w in ("said", "says", "asked", "wrote", "told", "replied", "promised", "agreed", "mentioned", "complained", "apologi", "joined us", "called me", "emailed", "lives in", "lives at", "works at", "works for", "sagt", "schrieb", "meinte", "fragte", "wohnt",
+                         "arbeitet", "bittet", "a dit", "a écrit", "a demandé", "a appelé", "habite", "travaille"))))
 #: Letters that equal i and s when case is ignored, but not in lower case.
 _AS_ASCII = str.maketrans("İıſ", "iis")
 
@@ -364,10 +414,17 @@ def trigger(lex: Lexicon):
     import ahocorasick
 
     known, cues = ahocorasick.Automaton(), ahocorasick.Automaton()
-    for auto, words in ((known, {*lex.given, *lex.family, "\0\0"}), (cues, CUES)):
+    for w in (*lex.given, *lex.family, "\0\0"):
+        known.add_word(w, 1)
+    kinds: dict[str, int] = {}
+    for k, words in enumerate(CUES):
         for w in words:
-            auto.add_word(w, 1)
-        auto.make_automaton()
+            kinds[w] = kinds.get(w, 0) | 1 << k
+    for w, mask in kinds.items():
+        cues.add_word(w, mask)
+    known.make_automaton()
+    cues.make_automaton()
+    contexts = (CONTEXT.search, SPOKEN_TO.search, SAID_RIGHT.search)
 
     def test(t: str) -> bool:
         if "@" in t or SHAPES.search(t) or SPELT_AT.search(t):
@@ -375,54 +432,114 @@ def trigger(lex: Lexicon):
         low = t.lower()
         if next(known.iter(low), None) is not None:
             return True
-        if next(cues.iter(low if t.isascii() else t.translate(_AS_ASCII).lower()), None) is None:
-            return False
-        return CONTEXT.search(t) is not None
+        mask = 0
+        for _, m in cues.iter(low if t.isascii() else t.translate(_AS_ASCII).lower()):
+            mask |= m
+        return bool(mask) and any(mask >> k & 1 and contexts[k](t) is not None for k in range(3))
 
     return test
 
 
-def lexicon(name_parts: DataFrame) -> Lexicon:
-    """Collect the dictionary of name parts, within its bound."""
+def lexicon(name_parts: DataFrame) -> Lexicon | None:
+    """The dictionary of name parts, or None if it is too long to go to every task."""
     rows = name_parts.select("name_part", "part_kind").where("name_part is not null").distinct().limit(MAX_NAME_PARTS + 1).collect()
-    if len(rows) > MAX_NAME_PARTS:
-        raise ValueError(f"more than {MAX_NAME_PARTS} name parts: too many to send to every task")
-    return Lexicon.of([(r[0], r[1]) for r in rows])
+    return None if len(rows) > MAX_NAME_PARTS else Lexicon.of([(r[0], r[1]) for r in rows])
 
 
-def mentions(contents: DataFrame, lex: Lexicon) -> DataFrame:
-    """(content_id, field, pii_type, value), one row per value, type, field and content."""
+_HAN_RUN = re.compile(f"[{HAN}]+")
+
+
+def words(text: str | None) -> set[str]:
+    """Everything in a text that may be a name part, in lower case: words, and up to four Chinese characters in a row."""
+    if not text:
+        return set()
+    out = {m.group().lower() for m in TOKEN.finditer(text)}
+    for m in _HAN_RUN.finditer(text):
+        r = m.group()
+        out.update(r[i:i + n] for n in range(1, 5) for i in range(len(r) - n + 1))
+    return out
+
+
+FIELDS = ("text", "command")
+
+
+def with_parts(contents: DataFrame, name_parts: DataFrame) -> DataFrame:
+    """``contents`` (id, text, command) with ``parts``, the known name parts among each content's own words."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, w) for i, *texts in zip(*(batch.column(n).to_pylist() for n in ("id", *FIELDS))) if i is not None for w in set().union(*map(words, texts))]
+            ids, found = zip(*rows) if rows else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["id", "word"])
+
+    c = contents.select("id", *FIELDS)
+    known = name_parts.where("name_part is not null").select(F.lower("name_part").alias("word"), F.col("part_kind").alias("kind")).distinct()
+    held = c.mapInArrow(scan, "id long, word string").join(known, "word").groupBy("id").agg(F.collect_set(F.struct("word", "kind")).alias("parts"))
+    return c.join(held, "id", "left")
+
+
+def _readers(lex: Lexicon | None):
+    """Function from the parts of a row to (trigger, lexicon)."""
+    if lex is not None:
+        both = trigger(lex), lex
+        return lambda parts: both
+    plain = Lexicon.of([])
+    none = trigger(plain), plain
+
+    def read(parts):
+        return ((lambda t: True), Lexicon.of([(p["word"], p["kind"]) for p in parts])) if parts else none
+
+    return read
+
+
+def _prepared(contents: DataFrame, names: Lexicon | DataFrame) -> tuple[DataFrame, Lexicon | None]:
+    lex = names if isinstance(names, Lexicon) else lexicon(names)
+    c = contents.select("id", *FIELDS)
+    return (c.withColumn("parts", F.lit(None).cast("array<struct<word:string,kind:string>>")), lex) if lex is not None else (with_parts(c, names), None)
+
+
+def mentions(contents: DataFrame, names: Lexicon | DataFrame) -> DataFrame:
+    """(content_id, field, pii_type, value), one row per value, type, field and content. ``names``: a lexicon, or the table of name parts."""
     schema = pa.schema([("content_id", pa.int64()), ("field", pa.string()), ("pii_type", pa.string()), ("value", pa.string())])
+    rows, lex = _prepared(contents.where("text is not null or command is not null"), names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test = trigger(lex)
+        read = _readers(lex)
         for batch in batches:
-            rows: list[tuple] = []
-            ids = batch.column("id")
-            for name in ("text", "command"):
+            found: list[tuple] = []
+            ids, parts = batch.column("id"), batch.column("parts").to_pylist()
+            for name in FIELDS:
                 for k, value in enumerate(batch.column(name).to_pylist()):
-                    if value and test(value):
-                        seen = {(kind, value[a:b]) for a, b, kind in detect(value, lex)}
-                        rows += [(ids[k].as_py(), name, kind, v) for kind, v in sorted(seen)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else ([], [], [], []), schema)], schema=schema)
+                    if value:
+                        test, known = read(parts[k])
+                        if test(value):
+                            seen = {(kind, value[a:b]) for a, b, kind in detect(value, known)}
+                            found += [(ids[k].as_py(), name, kind, v) for kind, v in sorted(seen)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found) if found else ([], [], [], []), schema)], schema=schema)
 
-    found = contents.select("id", "text", "command").where("text is not null or command is not null").mapInArrow(scan, "content_id long, field string, pii_type string, value string")
-    return found.distinct()
+    return rows.mapInArrow(scan, "content_id long, field string, pii_type string, value string").distinct()
 
 
-def redacted(contents: DataFrame, lex: Lexicon) -> DataFrame:
+def redacted(contents: DataFrame, names: Lexicon | DataFrame) -> DataFrame:
     """(id, text, command) of all contents, personal data replaced."""
     schema = pa.schema([("id", pa.int64()), ("text", pa.string()), ("command", pa.string())])
+    rows, lex = _prepared(contents, names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test = trigger(lex)
-        clean = lambda v: redact(v, lex) if v and test(v) else v
+        read = _readers(lex)
+
+        def clean(value, parts):
+            if not value:
+                return value
+            test, known = read(parts)
+            return redact(value, known) if test(value) else value
+
         for batch in batches:
-            cols = [pa.array([clean(v) for v in batch.column(n).to_pylist()], pa.string()) for n in ("text", "command")]
+            parts = batch.column("parts").to_pylist()
+            cols = [pa.array([clean(v, p) for v, p in zip(batch.column(n).to_pylist(), parts)], pa.string()) for n in FIELDS]
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), *cols], schema=schema)
 
-    return contents.select("id", "text", "command").mapInArrow(scan, "id long, text string, command string")
+    return rows.mapInArrow(scan, "id long, text string, command string")
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mentions(table(spark, sf_dir, "event_contents", "id", "text", "command"), lexicon(table(spark, sf_dir, "name_parts")))
+    return mentions(table(spark, sf_dir, "event_contents", "id", "text", "command"), table(spark, sf_dir, "name_parts"))

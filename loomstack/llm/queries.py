@@ -15,8 +15,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All contents with typed placeholders in place of personal data."""
-    lex = pii.lexicon(table(spark, sf_dir, "name_parts"))
-    return pii.redacted(table(spark, sf_dir, "event_contents", "id", "text", "command"), lex)
+    return pii.redacted(table(spark, sf_dir, "event_contents", "id", "text", "command"), table(spark, sf_dir, "name_parts"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
