@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from loomstack.runtime import table, written
 
 BUCKETS = 1 << 16
-ROUNDS = 4
+ROUNDS = 3
 #: Labelled documents used to fit the calibration, and its folds.
 CALIBRATION, FOLDS = 20_000, 5
 #: Subjects are a fixed list; the model's size depends on their number.
@@ -156,29 +156,31 @@ def per_document(shares: np.ndarray, per_doc: np.ndarray) -> np.ndarray:
     return ends[at] - ends[at - per_doc]
 
 
-def responsibilities(feats: np.ndarray, starts: np.ndarray, per_doc: np.ndarray, w: np.ndarray, allowed: np.ndarray | None = None, coherence: float = 0.0) -> np.ndarray:
-    """Class shares of each segment; ``allowed`` multiplies them before they are normed, ``coherence`` makes the prior follow the rest of the document."""
+def responsibilities(feats: np.ndarray, starts: np.ndarray, per_doc: np.ndarray, w: np.ndarray, bound: tuple[np.ndarray, np.ndarray] | None = None, coherence: float = 0.0) -> np.ndarray:
+    """Class shares of each segment; ``bound`` = (segments, factors) multiplies those of some segments before they are normed, ``coherence`` makes the prior follow the rest of the document."""
     classes = w.shape[1]
     if not len(starts):
-        return np.zeros((0, classes))
-    score = np.add.reduceat(w[feats], starts, axis=0).astype(np.float64)
+        return np.zeros((0, classes), np.float32)
+    score = np.add.reduceat(w[feats], starts, axis=0)
 
     def normed(prior: np.ndarray) -> np.ndarray:
-        s = score + prior
-        p = np.exp(s - s.max(axis=1, keepdims=True))
-        if allowed is not None:
-            p *= allowed
-        return p / p.sum(axis=1, keepdims=True)
-
-    prior = np.full(classes, PRIOR)
+        p = score + prior
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        if bound is not None:
+            p[bound[0]] *= bound[1]
+        p /= p.sum(axis=1, keepdims=True)
+        return p
+
+    prior = np.full(classes, PRIOR, np.float32)
     prior[-1] = 0
     r = normed(prior)
     if not coherence:
         return r
     doc = np.repeat(np.arange(len(per_doc)), per_doc)
     sure = np.where(r > 0.5, r, 0)
-    rest = np.maximum(per_document(sure, per_doc)[doc] - sure, 0) / np.maximum(per_doc[doc] - 1, 1)[:, None]
-    leaning = np.log(np.exp(PRIOR) + coherence * rest)
+    rest = np.maximum(per_document(sure, per_doc).astype(np.float32)[doc] - sure, 0) / np.maximum(per_doc[doc] - 1, 1).astype(np.float32)[:, None]
+    leaning = np.log(np.float32(np.exp(PRIOR)) + np.float32(coherence) * rest)
     leaning[:, -1] = 0
     return normed(leaning)
 
@@ -270,18 +272,26 @@ class _Docs:
         self.seg_len = seg
         self.doc_of_seg = np.repeat(np.arange(batch.num_rows), self.per_doc)
         self.seg_of_feat = np.repeat(np.arange(len(seg)), seg)
-        self.allowed = np.ones((batch.num_rows, classes))
-        self.own = np.zeros((batch.num_rows, classes))
-        for i in np.flatnonzero(known.is_valid().to_numpy(zero_copy_only=False)):
+        self.labelled = np.flatnonzero(known.is_valid().to_numpy(zero_copy_only=False))
+        self.allowed = np.full((len(self.labelled), classes), SLACK, np.float32)
+        self.own = np.zeros((len(self.labelled), classes), np.float32)
+        self.allowed[:, -1] = 1
+        for k, i in enumerate(self.labelled):
             mine = known[int(i)].as_py()
-            self.allowed[i] = SLACK
-            self.allowed[i, -1] = 1
-            self.allowed[i, mine] = 1
-            self.own[i, mine] = 1 / len(mine)
+            self.allowed[k, mine] = 1
+            self.own[k, mine] = 1 / len(mine)
 
     def shares(self, w: np.ndarray | None) -> np.ndarray:
         """Class shares of the segments as training has them: those of the labels, or of the weights within the labels."""
-        return self.own[self.doc_of_seg] if w is None else responsibilities(self.feats, self.starts, self.per_doc, w, self.allowed[self.doc_of_seg], COHERENCE)
+        at = np.full(len(self.per_doc), -1)
+        at[self.labelled] = np.arange(len(self.labelled))
+        at = at[self.doc_of_seg]
+        segs = np.flatnonzero(at >= 0)
+        if w is None:
+            r = np.zeros((len(at), self.own.shape[1]), np.float32)
+            r[segs] = self.own[at[segs]]
+            return r
+        return responsibilities(self.feats, self.starts, self.per_doc, w, (segs, self.allowed[at[segs]]), COHERENCE)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], classes: int, rows: int = 1000) -> Iterator[_Docs]:
