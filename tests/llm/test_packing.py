@@ -36,13 +36,33 @@ def test_plan_is_small_for_many_items():
     assert len(runs) < 40_000
 
 
+@pytest.mark.parametrize("sent", [0, 1_000_000])
+def test_large_capacities_are_planned_in_steps(spark, monkeypatch, sent):
+    """Any capacity and any number of kinds: with few cells a plan is rougher, but whole and within the capacity."""
+    monkeypatch.setattr(P, "CELLS", 10)
+    monkeypatch.setattr(P, "SENT_RUNS", sent)
+    d = spark.createDataFrame([(i, "word " * (i * 7 % 83)) for i in range(150)], "doc_id long, text string")
+    c = spark.createDataFrame([(f"k{n}", "byte_bpe_50k", n) for n in (1, 9, 10, 11, 64, 97)], "container string, tokenizer string, capacity long")
+    size = dict(zip(range(150), P.counter("byte_bpe_50k", *P.tokenizer_file("byte_bpe_50k"))(["word " * (i * 7 % 83) for i in range(150)])))
+    rows = P.packed(d, c).collect()
+    for cap in (1, 9, 10, 11, 64, 97):
+        mine = [r for r in rows if r.container == f"k{cap}"]
+        total, used = defaultdict(int), defaultdict(int)
+        for r in mine:
+            total[r.doc_id] += r.size
+            if r.bin is not None:
+                used[r.bin] += r.size
+        assert dict(total) == size and max(used.values()) <= cap and sorted(used) == list(range(len(used)))
+        assert sum(used.values()) >= 0.6 * cap * len(used)
+
+
 def test_documents_take_slots(spark):
     docs = [(i, "word " * (i % 60)) for i in range(200)] + [(900, None), (901, ""), (902, "long text " * 3000), (903, "tie"), (904, "tie")]
     d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as size", "2 as bin", "3 as container")
     c = spark.createDataFrame([("s", "byte_bpe_50k", 64), ("w", "word_bpe_49k", 100), ("p", "piece_bpe_32k", 128), ("bad", "byte_bpe_50k", 0), ("null", "byte_bpe_50k", None)], "container string, tokenizer string, capacity long")
     rows = P.packed(d, c).collect()
     for name, tok, cap in (("s", "byte_bpe_50k", 64), ("w", "word_bpe_49k", 100), ("p", "piece_bpe_32k", 128)):
-        size = dict(zip((i for i, _ in docs), P.counter(tok)([t for _, t in docs])))
+        size = dict(zip((i for i, _ in docs), P.counter(tok, *P.tokenizer_file(tok))([t for _, t in docs])))
         mine = [r for r in rows if r.container == name]
         total, used = defaultdict(int), defaultdict(int)
         for r in mine:
