@@ -227,6 +227,7 @@ def text_terms(c: Column) -> Column:
     return _text_terms(c)
 
 
+# Words that lead a definition.
 LEAD_WORDS = frozenset("class_name class func function def type struct interface signal const var method fn".split())
 
 

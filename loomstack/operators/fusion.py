@@ -20,57 +20,47 @@ def clamp_top_k(k: int) -> int:
     return TOP_K if k <= 0 else min(k, MAX_TOP_K)
 
 
-def exact_name(name: str | None, query: str) -> bool:
-    """Is the symbol's name the query, or its last part behind '.', ':' or '/'?"""
-    q = query.strip()
-    cut = max(q.rfind(c) for c in ".:/")
-    return name is not None and name in (q, q[cut + 1:] if 0 <= cut < len(q) - 1 else q)
-
-
-def richer(a: str, b: str) -> bool:
-    """Does text ``a`` say more than ``b``: more lines, else more characters? A blank text never does."""
-    a, b = a.strip(), b.strip()
-    return bool(a) and (not b or (a.count("\n"), len(a)) > (b.count("\n"), len(b)))
-
-
-class Entry:
-    """Hits of one place in a file."""
-
-    __slots__ = ("start", "end", "score", "text", "name", "anchor", "symbolic")
-
-    def __init__(self, hit, score: float):
-        self.start, self.end, self.score, self.text = hit.start_line, hit.end_line, score, hit.snippet or ""
-        self.symbolic = bool(hit.from_symbol)
-        self.name, self.anchor = (hit.name, hit.start_line) if self.symbolic else ("", 0)
-
-    def absorb(self, hit, score: float) -> None:
-        """Widen by an overlapping hit. The first symbol gives the name and the start line; a chunk's text is kept over signatures."""
-        self.score += score
-        text, had_symbol = hit.snippet or "", self.symbolic
-        has_chunk = not had_symbol and self.text.strip() != ""
-        if hit.from_symbol:
-            self.symbolic = True
-            if not self.anchor:
-                self.name, self.anchor = hit.name, hit.start_line
-        self.start = self.anchor or min(self.start, hit.start_line)
-        self.end = max(self.end, hit.end_line)
-        if not hit.from_symbol and text.strip():
-            keep = has_chunk
-        elif hit.from_symbol and not had_symbol:
-            keep = self.text.strip() != ""
-        else:
-            keep = not richer(text, self.text)
-        if not keep:
-            self.text = text
+def richness(text: str | None) -> tuple[bool, int, int]:
+    """Order of texts by what they say: blank ones last, then by lines, then by characters."""
+    t = (text or "").strip()
+    return bool(t), t.count("\n"), len(t)
+
+
+class Place:
+    """Hits of one place in a file, in the order in which they joined; all else follows from them."""
+
+    def __init__(self, hit):
+        self.hits = [hit]
+
+    def symbols(self) -> list:
+        return [h for h in self.hits if h.from_symbol]
+
+    def span(self) -> tuple[int, int]:
+        """Lines: from the first symbol's definition, if there is one, to the furthest end."""
+        anchors = self.symbols()[:1] or self.hits
+        return min(h.start_line for h in anchors), max(h.end_line for h in self.hits)
+
+    def text(self) -> str:
+        """A chunk's text stands for the place, else its first symbol's; a further symbol's only if it says more. The earliest of the richest."""
+        chunk = next((h.snippet for h in self.hits if not h.from_symbol and (h.snippet or "").strip()), None)
+        symbols = [h.snippet for h in self.symbols()]
+        return max([chunk if chunk is not None else next(iter(symbols), None), *symbols[1:]], key=richness) or ""
+
+    def row(self, path: str) -> tuple:
+        first = self.symbols()[:1]
+        return (path, *self.span(), sum(h.gain for h in self.hits), self.text(), first[0].name if first else "")
 
 
 def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    entries: list[Entry] = []
+    places: list[Place] = []
     for hit in pdf.sort_values(["from_symbol", "rank"], kind="stable").itertuples():
-        home = next((e for e in entries if e.start <= hit.end_line and hit.start_line <= e.end), None)
-        home.absorb(hit, hit.gain) if home else entries.append(Entry(hit, hit.gain))
+        home = next((p for p in places if p.span()[0] <= hit.end_line and hit.start_line <= p.span()[1]), None)
+        if home:
+            home.hits.append(hit)
+        else:
+            places.append(Place(hit))
     path = pdf["path"].iloc[0]
-    return pd.DataFrame([(path, e.start, e.end, e.score, e.text, e.name) for e in entries], columns=["path", "start_line", "end_line", "score", "snippet", "name"])
+    return pd.DataFrame([p.row(path) for p in places], columns=["path", "start_line", "end_line", "score", "snippet", "name"])
 
 
 def snippet(c):

@@ -66,11 +66,16 @@ def summaries(sessions: DataFrame, events: DataFrame, contents: DataFrame) -> Da
 
 
 def call_links(events: DataFrame) -> DataFrame:
-    """(id, linked_kind): for each tool event with a call id, the kind of the latest earlier event of that call."""
+    """(id, linked_kind, kind): for each tool event with a call id, the kind of the latest (by time, then id) of the call's events with a lower id.
+
+    An error that answers to a test is a failed test; other kinds stay.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("session_id", "call_id").orderBy("id")  # one call: a handful of events
-    return events.where("call_id <> ''").withColumn("linked_kind", F.lag("kind").over(w)).where("role = 'tool' and linked_kind is not null").select("id", "linked_kind")
+    w = Window.partitionBy("session_id", "call_id").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)  # one call: a handful of events
+    linked = events.where("call_id <> ''").withColumn("_l", F.max(F.struct("ts", "id", "kind")).over(w)).where("role = 'tool' and _l is not null")
+    kind = F.when((F.col("kind") == "error") & (F.col("_l.kind") == "test"), "test_failure").otherwise(F.col("kind"))
+    return linked.select("id", F.col("_l.kind").alias("linked_kind"), kind.alias("kind"))
 
 
 def last_outputs(events: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ _CLEAN = f"""clean as (select id, session_id, content_id, source_id, record_ordi
 _KEY = "case when call_id <> '' then 'call ' || call_id when native_event_id <> '' then 'native ' || native_event_id else 'time ' || ts || ' ' || parent_native_id end"
 _DUP = f"{_CLEAN}, dup as (select *, case when f <> id then f end as duplicate_of from (select *, first_value(id) over (partition by session_id, content_id, {_KEY} order by {_ORD}) as f from clean))"
 _FIX = r"0-9A-Za-z_"
-# The reference's dialect: the same patterns as in the normaliser, with RE2's own boundaries.
+# The patterns of ``normalize`` and ``episodes`` in the dialect of the SQL engine, with its own word boundaries.
 _RX = {
     "assign": r"""(?i)((?:"[A-Z0-9_]*(?:TOKEN|KEY|SECRET|PASSWORD|PASSWD)"|''[A-Z0-9_]*(?:TOKEN|KEY|SECRET|PASSWORD|PASSWD)''|\b[A-Z0-9_]*(?:TOKEN|KEY|SECRET|PASSWORD|PASSWD))\s*[:=]\s*)("[^"]*"|''[^'']*''|[^\s,;}\]]+)""",
     "bearer": r"""(?i)((?:"authorization"|''authorization''|\bauthorization)\s*[:=]\s*["'']?\s*bearer\s+)[A-Za-z0-9._~+/=-]{8,}""",
@@ -156,8 +156,10 @@ def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.summaries(table(spark, sf_dir, "sessions", "id"), e, table(spark, sf_dir, "event_contents", "id", "text"))
 
 
-@query(f"with {_CLEAN}, l as (select *, lag(kind) over (partition by session_id, call_id order by id) as linked_kind from clean where call_id <> '') select id, linked_kind from l where role = 'tool' and linked_kind is not null")
+@query(f"""with {_CLEAN}, p as (select c.id, arg_max(e.kind, (e.ts, e.id)) as linked_kind, any_value(c.kind) as kind from clean c join clean e on e.session_id = c.session_id and e.call_id = c.call_id and e.id < c.id where c.role = 'tool' and c.call_id <> '' group by 1)
+select id, linked_kind, case when kind = 'error' and linked_kind = 'test' then 'test_failure' else kind end as kind from p""")
 def call_result_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each tool result answers to, and its kind in that light."""
     return S.call_links(_events(spark, sf_dir))
 
 

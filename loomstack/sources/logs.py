@@ -109,19 +109,30 @@ class ToolInput:
         return {"command": self.command, "diff": diff, "paths": paths, "text": "" if self.command or diff else compact(raw)}
 
 
+def _plain_numbers(value):
+    """Numbers as a decoder that knows only doubles writes them again: whole ones without a fraction."""
+    if isinstance(value, dict):
+        return {k: _plain_numbers(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_plain_numbers(v) for v in value]
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        value = float(value)
+        return int(value) if value.is_integer() and abs(value) < 1e21 else value
+    return value
+
+
 def compact(value) -> str:
-    """JSON with sorted keys and the web-safe escapes of the reference's encoder."""
+    """JSON with sorted keys, doubles for numbers and the web-safe escapes of the reference's encoder."""
     if value is None:
         return ""
-    if isinstance(value, float) and value.is_integer():
-        value = int(value)
-    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    return text.replace("&", "\\u0026").replace("<", "\\u003c").replace(">", "\\u003e")
+    text = json.dumps(_plain_numbers(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    for raw, safe in (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
+        text = text.replace(raw, safe)
+    return text
 
 
 def tool_call(raw) -> dict:
-    value = raw
-    return ToolInput().walk(value).record(raw) if raw is not None else {"command": "", "diff": "", "paths": [], "text": ""}
+    return ToolInput().walk(raw).record(raw) if raw is not None else {"command": "", "diff": "", "paths": [], "text": ""}
 
 
 def plain_text(value) -> str:
@@ -284,7 +295,7 @@ _TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean
 
 def decode_line(agent: str, line: str | None) -> tuple[Line, bool]:
     """(result, malformed). Blank and oversized lines are noise."""
-    if not line or not line.strip() or len(line) > MAX_LINE:
+    if not line or not line.strip() or len(line) * 4 > MAX_LINE and len(line.encode()) > MAX_LINE:
         out = Line()
         out.noise = 1
         return out, False

@@ -96,6 +96,26 @@ def test_clamp(k, want):
     assert fusion.clamp_top_k(k) == want
 
 
-@pytest.mark.parametrize("a,b,want", [("", "x", False), ("x", "", True), ("a\nb", "long line", True), ("abc", "ab", True), ("ab", "ab", False)])
-def test_richer(a, b, want):
-    assert fusion.richer(a, b) is want
+def test_texts_of_a_place():
+    from collections import namedtuple
+
+    hit = namedtuple("hit", "start_line end_line snippet from_symbol name gain")
+    chunk = lambda t, a=1, b=80: hit(a, b, t, False, None, 1.0)
+    symbol = lambda t, a=10, b=12: hit(a, b, t, True, f"s{a}", 2.0)
+
+    def place(*hits):
+        p = fusion.Place(hits[0])
+        p.hits += hits[1:]
+        return p
+
+    assert place(chunk("first"), chunk("second\nlonger"), symbol("def f")).text() == "first"
+    assert place(chunk(" "), chunk("second"), symbol("def f")).text() == "second" and place(chunk(None), symbol("def f")).text() == "def f"
+    assert place(symbol("def f"), symbol("def g(a)")).text() == "def g(a)" and place(symbol("ab"), symbol("cd")).text() == "ab" and place(symbol(None)).text() == ""
+    assert place(chunk("body"), symbol("a\nb\nc"), symbol("x\ny")).text() == "x\ny"  # only a further symbol takes a chunk's place
+    assert place(chunk("b", 5, 80), symbol("f", 30, 90), symbol("g", 20, 25)).span() == (30, 90) and place(chunk("b", 5, 80), chunk("c", 2, 9)).span() == (2, 80)
+    assert place(chunk("b"), symbol("f")).row("p") == ("p", 10, 80, 3.0, "b", "s10")
+
+
+@pytest.mark.parametrize("a,b,want", [("", "x", False), ("x", "", True), ("a\nb", "long line", True), ("abc", "ab", True), ("ab", "ab", False), (None, " ", False)])
+def test_richness(a, b, want):
+    assert (fusion.richness(a) > fusion.richness(b)) is want

@@ -64,7 +64,10 @@ def test_duplicates_and_summaries(spark):
 def test_links(spark):
     rows = [ev(1, "assistant", "test", call="c"), ev(2, "tool", "command_output", call="c", code=1), ev(3, "tool", "command_output", call="c", code=0), ev(4, "assistant", "command"), ev(5, "tool", "error")]
     e = S.duplicates(S.clean(spark.createDataFrame(rows, EV)))
-    assert {(r.id, r.linked_kind) for r in S.call_links(e).collect()} == {(2, "test"), (3, "command_output")}
+    assert {(r.id, r.linked_kind, r.kind) for r in S.call_links(e).collect()} == {(2, "test", "command_output"), (3, "command_output", "command_output")}
+    late = [ev(3, "assistant", "command", call="k", ts=99), ev(5, "assistant", "test", call="k", ts=10), ev(9, "tool", "error", call="k", ts=1), ev(10, "assistant", "test", call="t"), ev(11, "tool", "error", call="t")]
+    got = {(r.id, r.linked_kind, r.kind) for r in S.call_links(S.duplicates(spark.createDataFrame(late, EV))).collect()}
+    assert got == {(9, "command", "error"), (11, "test", "test_failure")}
     assert [(r.output_id, r.exit_code) for r in S.last_outputs(e).collect()] == [(3, 0)]
     assert {(r.id, r.output_id) for r in S.next_outputs(e).collect()} == {(1, 2), (4, 5)}
 
