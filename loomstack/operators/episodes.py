@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstack.operators.normalize import EDGE, trimmed
+from loomstack.operators.ranks import ranked
 from loomstack.operators.sessions import ORDER
 from loomstack.runtime import written
 
@@ -123,10 +124,30 @@ def summary(eps: DataFrame) -> DataFrame:
     return flat
 
 
+def placed(anchored: DataFrame) -> DataFrame:
+    """Events with their place ``n`` in the session and its number of events ``of``."""
+    return ranked(anchored, ["session_id"], list(ORDER))
+
+
+def frame_rows(events: DataFrame, before: int, after: int | None) -> DataFrame:
+    """(anchor_id, anchor_n, id, n) of the events from ``before`` places ahead of each anchor to ``after`` behind it; None: to the end of the session.
+
+    ``events`` come from ``placed``. A bounded frame asks for its places by number and meets them in an equality join on (session, place), so
+    a session of any length is no single task. A frame to the end of the session is as long as that: its rows are the result.
+    """
+    if before < 0 or (after or 0) < 0:
+        raise ValueError("bounds of a frame must not be negative")
+    last = F.col("of") if after is None else F.least(F.col("of"), F.col("n") + after)
+    wanted = events.where("anchor is not null").select(
+        "session_id", F.col("id").alias("anchor_id"), F.col("n").alias("anchor_n"), F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - before), last)).alias("n"))
+    return wanted.join(events.select("session_id", "n", "id"), ["session_id", "n"]).select("anchor_id", "anchor_n", "id", "n")
+
+
 def frames(anchored: DataFrame, before: int, after: int | None) -> DataFrame:
-    """(event_id, anchor, frame): ids of the events from ``before`` rows ahead of each anchor to ``after`` rows behind it; None: to the end of the session."""
-    w = Window.partitionBy("session_id").orderBy(*ORDER).rowsBetween(-before, Window.unboundedFollowing if after is None else after)
-    return anchored.withColumn("frame", F.collect_list("id").over(w)).where("anchor is not null").select(F.col("id").alias("event_id"), "anchor", "frame")
+    """(event_id, anchor, frame): ids of the events of each anchor's frame in order; None for ``after``: to the end of the session."""
+    e = placed(anchored)
+    ids = frame_rows(e, before, after).groupBy("anchor_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "id"))), lambda x: x["id"]).alias("frame"))
+    return ids.join(e.where("anchor is not null").select(F.col("id").alias("anchor_id"), "anchor"), "anchor_id").select(F.col("anchor_id").alias("event_id"), "anchor", "frame")
 
 
 def matched(anchored: DataFrame, hits: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstack.operators import sessions as S
 from loomstack.operators.episodes import outcome
+from loomstack.operators.ranks import ranked
 
 BUDGETS = {"user": 160 << 10, "command": 320 << 10, "file": 64 << 10, "error": 192 << 10}
 
@@ -14,17 +15,14 @@ BUDGETS = {"user": 160 << 10, "command": 320 << 10, "file": 64 << 10, "error": 1
 def within_budget(items: DataFrame, group: str, order: list[str], size: Column, budget: int) -> DataFrame:
     """Keep items from the front up to half the budget (at least one), then from the back as far as the rest goes, if all do not fit.
 
-    Running sums from both ends, no fold: the front is a prefix, the back a suffix of what the front left.
+    Running sums instead of a fold: the front is a prefix, the back the suffix that fits into what the front left.
     """
-    w = Window.partitionBy(group).orderBy(*order)
-    r = Window.partitionBy(group).orderBy(*[F.desc(c) for c in order])
-    x = items.withColumn("_n", size).withColumns({
-        "_total": F.sum("_n").over(Window.partitionBy(group)), "_up": F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_k": F.row_number().over(w),
-        "_down": F.sum("_n").over(r.rowsBetween(Window.unboundedPreceding, 0))})
-    front = (F.col("_up") <= budget // 2) | (F.col("_k") == 1)
-    x = x.withColumns({"_front": front, "_used": F.max(F.when(front, F.col("_up"))).over(Window.partitionBy(group))})
-    keep = (F.col("_total") <= budget) | F.col("_front") | (F.col("_used") + F.col("_down") <= budget)
-    return x.where(keep).drop("_n", "_total", "_up", "_down", "_k", "_front", "_used")
+    x = ranked(items, [group], order, {"n": size})
+    front = (F.col("upto_n") <= budget // 2) | (F.col("n") == 1)
+    used = x.where(front).groupBy(group).agg(F.max("upto_n").alias("_used"))
+    x = x.join(used, group)
+    down = F.col("all_n") - F.col("upto_n") + F.coalesce(size.cast("long"), F.lit(0))  # this item and all behind it
+    return x.where((F.col("all_n") <= budget) | front | (F.col("_used") + down <= budget)).drop("n", "of", "upto_n", "all_n", "_used")
 
 
 def commands(events: DataFrame, contents: DataFrame) -> DataFrame:

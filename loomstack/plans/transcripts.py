@@ -10,6 +10,7 @@ from loomstack.operators import episodes as E
 from loomstack.operators import evidence as V
 from loomstack.operators import normalize as N
 from loomstack.operators import sessions as S
+from loomstack.operators.ranks import ranked
 from loomstack.operators.timestamps import FROM_S, TO_S
 from loomstack.plans.retrieval import sql_terms, sql_tokens
 from loomstack.runtime import spread, table, written
@@ -217,11 +218,9 @@ def session_list_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_DUP} select session_id, row_number() over (partition by session_id order by {_ORD}) as n, id, role, kind, ts, duplicate_of from dup where session_id = (select min(id) from sessions where agent = 'claude')")
 def session_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All occurrences of one session in order: the show command."""
-    from pyspark.sql import Window
-
     one = table(spark, sf_dir, "sessions", "id", "agent").where("agent = 'claude'").agg(F.min("id").alias("session_id"))
     e = _events(spark, sf_dir).join(F.broadcast(one), "session_id", "left_semi")
-    return e.select("session_id", F.row_number().over(Window.partitionBy("session_id").orderBy(*S.ORDER)).cast("long").alias("n"), "id", "role", "kind", "ts", "duplicate_of")
+    return ranked(e, ["session_id"], list(S.ORDER)).select("session_id", "n", "id", "role", "kind", "ts", "duplicate_of")
 
 
 _IDX = f"""idx as (select id as content_id, body_terms, command_terms from (select id, coalesce({sql_terms('b')}, []::varchar[]) as body_terms, coalesce({sql_terms('c')}, []::varchar[]) as command_terms from
