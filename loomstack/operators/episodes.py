@@ -162,13 +162,3 @@ def matched(anchored: DataFrame, hits: DataFrame) -> DataFrame:
 
 def outcome(kind: Column, code: Column) -> Column:
     return F.when(kind.isin("error", "test_failure") | F.coalesce(code != 0, F.lit(False)), "failure").when(F.coalesce(code == 0, F.lit(False)), "success").otherwise("unknown")
-
-
-def greedy_budget(sizes: list[int], anchor: int, budget: int) -> list[int]:
-    """Positions kept of a frame: in order while they fit; the first and the anchor always. No budget (0) keeps all."""
-    kept, used = [], 0
-    for i, n in enumerate(sizes):
-        if not budget or i == anchor or used + n <= budget or not kept:
-            kept.append(i)
-            used += n
-    return kept

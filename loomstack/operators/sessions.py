@@ -135,20 +135,30 @@ def event_index(contents: DataFrame) -> DataFrame:
     return written(i, "event_index").where((F.size("body_terms") > 0) | (F.size("command_terms") > 0) | (F.size("file_terms") > 0))
 
 
-def search_events(index: DataFrame, events: DataFrame, sessions: DataFrame, query: str, *, kind=None, agent=None, project=None, lineage=None, from_ms=None, to_ms=None, limit: int | None = None) -> DataFrame:
-    """Ranked event search. Statistics are those of the whole index; filters come after the match, one canonical event per content."""
+def search_events(index: DataFrame, events: DataFrame, sessions: DataFrame, query: str, *, kind=None, agent=None, session=None, repository=None, project=None, workspace=None, lineage=None, files: DataFrame | None = None, file=None,
+                  from_ms=None, to_ms=None, limit: int | None = None, whole: bool = False) -> DataFrame:
+    """Ranked event search. Statistics are those of the whole index; filters come after the match, one canonical event per content.
+
+    ``session`` is a uid or a native id; ``file`` needs ``files`` (content_id, path); ``whole`` gives all hits, unordered.
+    """
     hits = bm25.scored(index, T.query_phrases(query), bm25.EVENT_WEIGHTS).select("content_id", "score")
     per = events.groupBy("content_id").agg(F.min(F.struct(F.col("duplicate_of").isNotNull().alias("dup"), *ORDER, "session_id", "kind", "role")).alias("s"), F.count("*").alias("raw_event_count"))
     h = hits.join(per, "content_id").select("content_id", "score", "raw_event_count", F.col("s.id").alias("event_id"), F.col("s.ts").alias("ts"), F.col("s.session_id").alias("session_id"), F.col("s.kind").alias("kind"), F.col("s.role").alias("role"))
-    h = h.join(sessions.select(F.col("id").alias("session_id"), "session_uid", "agent", "project_id", "task_lineage_id"), "session_id")
-    for column, value in (("kind", kind), ("agent", agent), ("project_id", project), ("task_lineage_id", lineage)):
+    h = h.join(sessions.select(F.col("id").alias("session_id"), "session_uid", "native_id", "agent", "repository", "project_id", "workspace_id", "task_lineage_id"), "session_id")
+    for column, value in (("kind", kind), ("agent", agent), ("repository", repository), ("project_id", project), ("workspace_id", workspace), ("task_lineage_id", lineage)):
         if value:
             h = h.where(F.col(column) == value)
+    if session:
+        h = h.where((F.col("session_uid") == session) | (F.col("native_id") == session))
+    if file:
+        if files is None:
+            raise ValueError("a file filter needs the files of the contents")
+        h = h.join(files.where(F.col("path") == file).select("content_id").distinct(), "content_id", "left_semi")
     if from_ms is not None:
         h = h.where(F.col("ts") >= from_ms)
     if to_ms is not None:
         h = h.where(F.col("ts") <= to_ms)
-    return h.orderBy("score", "ts", "event_id").limit(limit_of(limit, SEARCH_LIMIT))
+    return h if whole else h.orderBy("score", "ts", "event_id").limit(limit_of(limit, SEARCH_LIMIT))
 
 
 def upserted(old: DataFrame, new: DataFrame) -> DataFrame:

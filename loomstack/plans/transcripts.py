@@ -240,7 +240,7 @@ select event_id, content_id, session_uid, kind, raw_event_count, round(score, 6)
 def _search(spark: SparkSession, sf_dir: str, **filters) -> DataFrame:
     index = S.event_index(spread(_contents(spark, sf_dir)))
     h = S.search_events(index, _events(spark, sf_dir), table(spark, sf_dir, "sessions"), "rate limiter", **filters)
-    return h.select("event_id", "content_id", "session_uid", "kind", "raw_event_count", F.round("score", 6).alias("score"))
+    return h if filters.get("whole") else h.select("event_id", "content_id", "session_uid", "kind", "raw_event_count", F.round("score", 6).alias("score"))
 
 
 @query(_sql_search("true", 10))

@@ -85,11 +85,6 @@ def test_restatements_against_brute_force(spark, monkeypatch):
     assert {r.id for r in E.restatements(spark.createDataFrame(rows, "session_id long, id long, pos long, text string")).collect()} == want
 
 
-def test_greedy_budget():
-    assert E.greedy_budget([5, 5, 5, 5], 3, 10) == [0, 1, 3]
-    assert E.greedy_budget([50, 5], 1, 10) == [0, 1] and E.greedy_budget([1, 2], 0, 0) == [0, 1]
-
-
 def test_upsert_rules(spark):
     cols = "seq long, session_uid string, title string, cwd string, repository string, task_lineage_id string, project_id string, started_at long, ended_at long"
     old = spark.createDataFrame([(1, "u", "", "/a", "", "l1", "p", 0, 5)], cols)
