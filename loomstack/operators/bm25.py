@@ -54,16 +54,23 @@ def scored(index: DataFrame, phrases: list[list[str]], weights: dict[str, float]
     tf = [reduce(lambda a, b: a + b, [occurrences(F.col(f), p) * w for f, w in weights.items()]).alias(f"tf_{i}") for i, p in enumerate(phrases)]
     length = reduce(lambda a, b: a + b, [F.size(f) for f in weights]).alias("len")
     rows = index.select("*", *tf, length)
-    hit = [F.col(f"tf_{i}") > 0 for i in range(len(phrases))]
-    rows = rows.where(reduce((lambda a, b: a & b) if mode == "and" else (lambda a, b: a | b), hit))
-    rows = rows.crossJoin(F.broadcast(statistics(index, phrases, weights)))
+    rows = rows.where(_matches(len(phrases), mode)).crossJoin(F.broadcast(statistics(index, phrases, weights)))  # one row
+    return with_score(rows, len(phrases), mode)
+
+
+def _matches(phrases: int, mode: str) -> Column:
+    return reduce((lambda a, b: a & b) if mode == "and" else (lambda a, b: a | b), [F.col(f"tf_{i}") > 0 for i in range(phrases)])
+
+
+def with_score(rows: DataFrame, phrases: int, mode: str) -> DataFrame:
+    """``score`` of rows with tf_i, len, and the statistics df_i, n, avgdl, which are dropped; rows that do not match are left out."""
     parts = []
-    for i in range(len(phrases)):
+    for i in range(phrases):
         idf = F.greatest(F.log((F.col("n") - F.col(f"df_{i}") + 0.5) / (F.col(f"df_{i}") + 0.5)), F.lit(LEAST_IDF))
         t = F.col(f"tf_{i}")
         parts.append(idf * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("len") / F.col("avgdl"))))
-    drop = [f"tf_{i}" for i in range(len(phrases))] + [f"df_{i}" for i in range(len(phrases))] + ["len", "n", "avgdl"]
-    return rows.withColumn("score", -reduce(lambda a, b: a + b, parts)).drop(*drop)
+    drop = [f"tf_{i}" for i in range(phrases)] + [f"df_{i}" for i in range(phrases)] + ["len", "n", "avgdl"]
+    return rows.where(_matches(phrases, mode)).withColumn("score", -reduce(lambda a, b: a + b, parts)).drop(*drop)
 
 
 def search(index: DataFrame, query: str, weights: dict[str, float], order: list[str], limit: int) -> DataFrame:

@@ -135,12 +135,3 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("task").orderBy(F.length("path"), "path", "start_line")
     ranked = g.where("token <> ''").join(c, "token").withColumn("rank", F.row_number().over(w)).select("task", "rank", "path", "lines")
     return evalmetrics.overall(evalmetrics.per_task(ranked, g.select("task", F.col("gold").alias("path"))))
-
-
-@query("select doc_id, sha256(text) as h from documents")
-def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index refresh: the state of an earlier date, brought up to date by indexing only what changed, has the rows of a full rebuild."""
-    now = table(spark, sf_dir, "documents", "doc_id", "text", "created_at").select("doc_id", F.sha2("text", 256).alias("h"), "created_at")
-    old = now.where("created_at < timestamp '2026-06-01 00:00:00'")
-    changes = snapshot.diff(old, now, "doc_id", "h")
-    return snapshot.refreshed(old.select("doc_id", "h"), changes, now.select("doc_id", "h"), "doc_id")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstack.functions import text as T
-from loomstack.operators import bm25, chunking, fusion, symbols
-from loomstack.runtime import spread, table, written
+from loomstack.operators import bm25, chunking, fusion, index, symbols, windows
+from loomstack.runtime import scratch, spread, table, written
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -111,10 +111,7 @@ def _chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _symbol_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = symbols.symbols(spread(table(spark, sf_dir, "chunks", "file_id", "path", "raw_body", "start_line")).select("file_id", "path", F.col("raw_body").alias("content"), F.col("start_line").alias("first_line")))
-    # Windows of a file overlap: a definition in two of them is one symbol.
-    found = found.groupBy("file_id", "path", "name", "kind", "start_line").agg(F.max(F.struct("end_line", "raw_signature")).alias("s")).select(
-        "file_id", "path", "name", "kind", "start_line", "s.*")
+    found = symbols.symbols(windows.reassembled(table(spark, sf_dir, "chunks", "file_id", "path", "start_line", "end_line", "raw_body")))
     return written(found.withColumns({
         "name_terms": T.text_terms(F.col("name")), "path_terms": T.terms(T.path_terms(F.col("path"))), "signature_terms": T.text_terms(F.col("raw_signature"))}), "symbols")
 
@@ -224,6 +221,43 @@ def search_code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_search(spark, sf_dir, "scan the batch of one route", 50).withColumn("score", F.round("score", 6))
 
 
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that the chunks were cut from, as an index takes them."""
+    whole = windows.reassembled(table(spark, sf_dir, "chunks", "file_id", "path", "start_line", "end_line", "raw_body"))
+    return whole.join(table(spark, sf_dir, "files", F.col("id").alias("file_id"), "mtime"), "file_id", "left").select(
+        "path", F.coalesce("mtime", F.lit(0)).alias("mtime"), F.octet_length("content").cast("long").alias("size"), "content", F.sha2("content", 256).alias("content_hash"))
+
+
+_LINES = """src as (select doc_id, string_agg(line, chr(10) order by n) as text from (select file_id as doc_id, n, any_value(line order by start_line, end_line) as line from (
+  select file_id, start_line, end_line, unnest(l) as line, start_line + generate_subscripts(l, 1) - 1 as n from (select *, case when len(l0) = end_line - start_line + 2 and l0[-1] = '' then l0[1:len(l0) - 1] else l0 end as l from (
+  select *, string_split_regex(coalesce(raw_body, ''), '\r\n|\n|\r') as l0 from chunks))) group by 1, 2) group by 1)"""
+
+
+@query(_sql_windows(80, 10).replace("with recursive ", f"with recursive {_LINES}, ").replace("from documents", "from src").rsplit("select doc_id", 1)[0]
+       + f", c as (select doc_id, s, {sql_tokens('body')} as t from (select doc_id, s, array_to_string(lines[s + 1:e], chr(10)) as body from w)), x as (select doc_id, s, unnest({sql_terms('t')}) as term from c) select term, count(distinct (doc_id, s)) as documents, count(*) as occurrences from x group by 1")
+def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index refresh: an index of an earlier state, brought up to date by analysing only what changed, holds the terms of the files as they are now.
+
+    In the earlier state young files are not there yet, some of the others read otherwise, and there are files that have gone since.
+    """
+    now = written(source_files(spark, sf_dir), "files")
+    turn = F.pmod(F.xxhash64("path"), F.lit(5))
+    other = now.withColumn("content", F.when(turn == 0, F.concat(F.lit("earlier words\n"), "content")).otherwise(F.col("content"))).withColumn("content_hash", F.sha2("content", 256))
+    earlier = other.where(turn != 1).unionByName(now.where(turn == 2).withColumn("path", F.concat(F.lit("gone/"), "path")))
+    at = index.CodeIndex(spark, scratch(spark, "index"), 8)
+    at.build(earlier)
+    at.build(now)
+    return at.vocabulary()
+
+
+@query()
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Build the index of all files and search it for an identifier."""
+    at = index.CodeIndex(spark, scratch(spark, "index"), 8)
+    at.build(source_files(spark, sf_dir))
+    return at.search("def merge_token").withColumn("score", F.round("score", 9))
+
+
 @query("""with h as (select path, start_line, id, row_number() over (partition by path order by length(raw_body) desc, start_line, id) as k from chunks)
 select path, start_line, id from h where k <= 2""")
 def per_file_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
