@@ -54,6 +54,53 @@ def project_identity(root: str, aliases: dict[str, str], remote: str = "", commo
     return identity("project", (f"alias:{alias}" if alias else "") or normal_remote(remote) or common_dir or os.path.realpath(root))
 
 
+def repository_root(folder: str) -> str:
+    """The nearest folder upwards that holds a repository; '' if there is none."""
+    at = os.path.realpath(folder) if folder else ""
+    while at and at != os.path.dirname(at):
+        if os.path.exists(os.path.join(at, ".git")):
+            return at
+        at = os.path.dirname(at)
+    return ""
+
+
+def git_facts(root: str) -> dict:
+    """(commit, remote, common_dir) of a repository, read from its files; '' for what is not known."""
+    facts = {"commit": "", "remote": "", "common_dir": ""}
+    git = os.path.join(root, ".git")
+    with contextlib.suppress(OSError, UnicodeDecodeError):
+        if os.path.isfile(git):  # a work tree that points to its repository
+            git = os.path.join(root, open(git, encoding="utf-8").read().partition("gitdir:")[2].strip())
+        common = os.path.join(git, open(os.path.join(git, "commondir"), encoding="utf-8").read().strip()) if os.path.isfile(os.path.join(git, "commondir")) else git
+        facts["common_dir"] = os.path.realpath(common)
+        head = open(os.path.join(git, "HEAD"), encoding="utf-8").read().strip()
+        name = head.partition("ref: ")[2]
+        if not name:
+            facts["commit"] = head
+        elif os.path.isfile(os.path.join(common, name)):
+            facts["commit"] = open(os.path.join(common, name), encoding="utf-8").read().strip()
+        elif os.path.isfile(os.path.join(common, "packed-refs")):
+            refs = dict(reversed(line.split()[:2]) for line in open(os.path.join(common, "packed-refs"), encoding="utf-8") if len(line.split()) == 2 and line[0] not in "#^")
+            facts["commit"] = refs.get(name, "")
+        text = open(os.path.join(common, "config"), encoding="utf-8").read() if os.path.isfile(os.path.join(common, "config")) else ""
+        m = re.search(r'\[remote "origin"\][^\[]*?^\s*url\s*=\s*(\S+)', text, re.M)
+        facts["remote"] = m.group(1) if m else ""
+    return facts
+
+
+def resolve(cwd: str | None) -> tuple[str, str, str]:
+    """(repository, project id, workspace id) of the folder that a session worked in; ids of '' for no folder."""
+    if not cwd:
+        return "", identity("project", "repo:"), identity("workspace", "")
+    root = repository_root(cwd)
+    facts = git_facts(root) if root else {"remote": "", "common_dir": ""}
+    try:
+        aliases = load_config(root or cwd)["aliases"]
+    except (ValueError, OSError):
+        aliases = {}
+    return root, project_identity(root or cwd, aliases, facts["remote"], facts["common_dir"]), identity("workspace", os.path.realpath(cwd))
+
+
 @contextlib.contextmanager
 def writer_lock(state: str) -> Iterator[None]:
     """Only one writer of a state folder at a time; a second one fails at once."""
@@ -97,7 +144,7 @@ def export_documents(df: DataFrame, folder: str, key: str) -> int:
 HOOK_MARK = "# loomstack: refresh the index"
 
 
-def install_hook(root: str, command: str = "python -m loomstack.cli status >/dev/null 2>&1 &") -> str:
+def install_hook(root: str, command: str = "python -m loomstack.cli index --root . >/dev/null 2>&1 &") -> str:
     """Add our line to the post-commit hook, keeping what is there; installing twice changes nothing."""
     at = os.path.join(root, ".git", "hooks", "post-commit")
     text = open(at, encoding="utf-8").read() if os.path.isfile(at) else "#!/bin/sh\n"
