@@ -222,7 +222,7 @@ class SessionStore:
         """Events with session_id, content_id and ``duplicate_of``."""
         ids = self._all("sessions").groupBy("session_uid").agg(F.min("session_id").alias("session_id"))
         e = self._live().join(ids, "session_uid").join(self._all("contents").select("content_key", "content_id"), "content_key")
-        return S.duplicates(e)
+        return S.duplicates(e.drop("session_uid", "content_key"))
 
     def contents(self) -> DataFrame:
         """Contents that some event refers to, with the files that they touch."""

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import re
+import stat
 import subprocess
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,11 +104,34 @@ def filtered(files: DataFrame, rules: IgnoreRules | None = None) -> DataFrame:
     return f.where(~rules.ignored(F.col("path"))) if rules and rules.rules else f
 
 
+def _contents(root: str):
+    def scan(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                rows = []
+                for path in batch.column("path").slice(at, 64).to_pylist():
+                    full = os.path.join(root, path)
+                    try:
+                        st = os.lstat(full)
+                        if stat.S_ISREG(st.st_mode) and 0 < st.st_size <= MAX_FILE_BYTES:
+                            with open(full, "rb") as f:
+                                rows.append((path, st.st_mtime_ns, st.st_size, f.read()))
+                    except OSError:
+                        continue  # gone, or not ours to read
+                cols = list(zip(*rows)) if rows else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["path", "mtime", "size", "content"])
+
+    return scan
+
+
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, mtime, size, content, content_hash) of the text files under ``root``; contents are read only for files that pass the filters."""
+    """(path, mtime, size, content, content_hash) of the text files under ``root``.
+
+    Names are listed once and filtered; executors open just those files, so nothing below pruned folders is ever looked at.
+    """
     root = os.path.abspath(root)
-    names = spark.createDataFrame([(p,) for p in tracked(root)], "path string")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"file://{root}")
-    meta = raw.select(F.regexp_replace(F.col("path"), "^file:/*" + re.escape(root) + "/", "").alias("path"), (F.unix_micros("modificationTime") * 1000).alias("mtime"), F.col("length").alias("size"), "content")
-    kept = filtered(meta, load_ignore(root)).join(names, "path", "left_semi").where(is_text(F.col("content")))
-    return kept.select("path", "mtime", "size", F.col("content").cast("string").alias("content"), F.sha2("content", 256).alias("content_hash"))
+    rules = load_ignore(root)
+    names = spark.createDataFrame([(p,) for p in tracked(root)], "path string").where(~skipped(F.col("path")))
+    names = names.where(~rules.ignored(F.col("path"))) if rules.rules else names
+    raw = names.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(_contents(root), "path string, mtime long, size long, content binary").where(is_text(F.col("content")))
+    return raw.select("path", "mtime", "size", F.col("content").cast("string").alias("content"), F.sha2("content", 256).alias("content_hash"))
