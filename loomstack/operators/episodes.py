@@ -1,8 +1,8 @@
 """Episodes: slices of a session around an anchor event.
 
 Anchors are errors, failed tests and corrections by their kind, and user messages that change the scope, set a direction, or restate an
-earlier request. The restatement test compares a message with all earlier ones of its session; it runs on distinct texts in blocks, each pair
-of blocks one matrix product, so no session is gathered in one place and no pair of rows is materialised.
+earlier request. The restatement test compares a message with all earlier ones of its session; it runs on distinct texts in blocks of like
+length, each pair of blocks that may hold a resemblance one matrix product, so no session is gathered in one place and no pair of rows is materialised.
 """
 
 from __future__ import annotations
@@ -71,9 +71,16 @@ def restatements(messages: DataFrame) -> DataFrame:
     """
     m = messages.select("session_id", "id", "pos", requirement(F.col("text")).alias("norm")).where("norm <> ''")
     first = written(m.groupBy("session_id", "norm").agg(F.min("pos").alias("at")), "requirements")
-    sizes = first.groupBy("session_id").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    blocks = first.join(sizes, "session_id").withColumn("b", F.pmod(F.xxhash64("norm"), F.col("blocks"))).groupBy("session_id", "b").agg(F.collect_list(F.struct("at", "norm")).alias("texts"))
-    pairs = blocks.select("session_id", F.col("texts").alias("cur")).join(blocks.select("session_id", F.col("texts").alias("pri")), "session_id")
+    placed = ranked(first.withColumn("size", F.length("norm")), ["session_id"], ["size", "norm"]).withColumn("b", F.floor((F.col("n") - 1) / BLOCK))
+    blocks = written(placed.groupBy("session_id", "b").agg(
+        F.collect_list(F.struct("at", "norm")).alias("texts"), F.min("size").alias("least"), F.max("size").alias("most"), F.min("at").alias("since"), F.max("at").alias("upto")), "blocks")
+    cur = blocks.select("session_id", F.col("b").alias("c"), "least", "upto")
+    pri = blocks.select("session_id", F.col("b").alias("p"), "most", "since")
+    # An earlier text resembles a later one only if it has 0.8 of its length; pairs of blocks that cannot hold such texts are left out, the rest
+    # is spread over the tasks pair by pair, however many of them one session has.
+    meet = cur.join(pri, "session_id").where((F.col("most") >= SIMILAR * F.col("least") - 1e-4) & (F.col("since") < F.col("upto"))).select("session_id", "c", "p")
+    texts = lambda k, name: blocks.select("session_id", F.col("b").alias(k), F.col("texts").alias(name))
+    pairs = meet.join(texts("c", "cur"), ["session_id", "c"]).join(texts("p", "pri"), ["session_id", "p"]).select("session_id", "cur", "pri")
     like = pairs.mapInArrow(_similar, "session_id long, norm string").distinct().withColumn("like", F.lit(True))
     firsts = first.join(like, ["session_id", "norm"], "left")
     return m.join(firsts, ["session_id", "norm"]).where((F.col("pos") > F.col("at")) | F.col("like")).select("id")

@@ -9,7 +9,11 @@ ambiguous local time (the first occurrence is taken: the larger offset), none a
 Defined results: null, blank, unparsable and impossible values (month 13, 30 February, hour 24, second 60) give null, so do instants
 not after the epoch (zero values), a local time whose zone is unknown, contradicting zones for one log, and abbreviations other
 than those of RFC 2822. Digits beyond the microsecond are cut off. Bare numbers are epoch counts whose unit (s, ms, µs, ns) is the one
-that puts them between 2025 and 2027.
+that puts them between FROM_S and TO_S (2025 to 2027, a property of the data; the functions take other bounds). Local times are resolved from
+FIRST_YEAR to LAST_YEAR, outside of which they give null: rules of zones are not known further ahead.
+
+A log without zones that holds a third of all lines is one key of the join with the clocks; the clocks are one small row per log, which the
+engine broadcasts where they fit its threshold, and beyond it the join's skew handling splits the log's lines over several tasks.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ MONTH_FIRST = rf"^(?:[A-Za-z]{{3,9}}\.?,?\s+)?([A-Za-z]{{3,9}})\.?\s+(\d{{1,2}})
 DOTTED = rf"^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}}),?\s+{CLOCK}{ZONE}$"
 UNIFORM = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"
 FROM_S, TO_S = 1735689600, 1830297600  # 2025-01-01 and 2028-01-01
+FIRST_YEAR, LAST_YEAR = 1970, 2100
 
 
 def _int(c: Column) -> Column:
@@ -46,13 +51,13 @@ def _thousandth(c: Column) -> Column:
     return F.floor((c - F.pmod(c, F.lit(1000))).cast("decimal(20,0)") / 1000).cast("long")
 
 
-def epoch_number(whole: Column, fraction: Column) -> Column:
-    """Microseconds of an epoch count in any unit; null outside 2025 to 2027."""
+def epoch_number(whole: Column, fraction: Column, from_s: int = FROM_S, to_s: int = TO_S) -> Column:
+    """Microseconds of an epoch count in any unit; null outside the bounds, which must lie within a factor of 1000 of each other."""
     def part(n: int) -> Column:
         return _int(F.substring(F.rpad(F.coalesce(fraction, F.lit("")), n, "0"), 1, n))
 
     def within(unit: int) -> Column:
-        return (whole >= FROM_S * unit) & (whole < TO_S * unit)
+        return (whole >= from_s * unit) & (whole < to_s * unit)
 
     return (
         F.when(within(1), whole * 1_000_000 + part(6)).when(within(1000), whole * 1000 + part(3))
@@ -61,7 +66,7 @@ def epoch_number(whole: Column, fraction: Column) -> Column:
     )
 
 
-def instants(df: DataFrame, value: str, keep: list[str]) -> DataFrame:
+def instants(df: DataFrame, value: str, keep: list[str], from_s: int = FROM_S, to_s: int = TO_S) -> DataFrame:
     """Add ``epoch_us``, ``local_us``, ``offset_min``, ``bad_zone``, ``zone`` and ``year`` for the texts of column ``value``.
 
     ``epoch_us`` is for bare numbers; else ``local_us`` is the wall clock in microseconds since 1970, ``offset_min`` the offset if one
@@ -125,7 +130,7 @@ def instants(df: DataFrame, value: str, keep: list[str]) -> DataFrame:
     frac = F.regexp_extract("_t", r"\.(\d*)$", 1)
     return d.select(
         *keep, value,
-        F.when(F.col("_number"), epoch_number(whole, frac)).alias("epoch_us"),
+        F.when(F.col("_number"), epoch_number(whole, frac, from_s, to_s)).alias("epoch_us"),
         F.when(~F.col("_number") & valid, ((day * 24 + hour) * 60 + F.col("mi")) * 60_000_000 + F.col("s") * 1_000_000 + F.col("us")).alias("local_us"),
         offset.cast("long").alias("offset_min"),
         (F.col("z").isNotNull() & (F.col("z") != "") & offset.isNull()).alias("bad_zone"),
@@ -170,7 +175,7 @@ def _intervals(batches: Iterator[pd.DataFrame], first: int, last: int) -> Iterat
         yield pd.DataFrame(rows, columns=["zone", "year", "from_us", "to_us", "offset_s"])
 
 
-def zone_intervals(zones: DataFrame, first: int = 1970, last: int = 2100) -> DataFrame:
+def zone_intervals(zones: DataFrame, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> DataFrame:
     """(zone, year, spans) for the distinct regions in ``zones``: the offset intervals that touch that local year.
 
     Bounded by the time zone database (some 600 regions) times the years, whatever the size of the data.

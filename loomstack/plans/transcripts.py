@@ -317,7 +317,9 @@ def episode_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.frames(_anchored(spark, sf_dir), 3, 5).select("event_id", "anchor", F.array_join("frame", ",").alias("frame"))
 
 
-@query()
+@query(f"""with {_DUP}, {_SAID}, {_EPISODES}, hit as (select event_id as id from ({_sql_search("true", 50)})), hits_at as (select session_id, id, ({_ORD}) as o from anchored where id in (select id from hit)),
+m as (select a.id as event_id, string_agg(h.id, ',' order by h.id) as matched from anchored a join hits_at h on h.session_id = a.session_id and (a.ts, a.source_id, a.record_ordinal, a.part_ordinal, a.id) <= h.o where a.anchor is not null group by 1)
+select episode_id, ts, anchor, task_status, matched from m join eps using (event_id)""")
 def episode_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes that hold an event that a search found, with the reasons; an episode lasts from its anchor to the end of the session."""
     hits = written(_search(spark, sf_dir, limit=50).select(F.col("event_id").alias("hit")), "hits")
