@@ -381,19 +381,24 @@ _LETTER = r"[^\W\d_]"
 #: Names of unknown parts: every left context with a letter behind it, every right context with a letter ahead, and a weak left one with a closing sign.
 #: Left contexts are searched in the characters before a name, where a word may begin that is cut in the text; only ``name`` reaches that far.
 #: Their $ also matches ahead of a line end.
-CONTEXT = re.compile(
+LABELLED = re.compile(
     rf"name[\"']?\s*[:=]\s*[\"']?\n?{_LETTER}|(?:\bfor user |\bbelongs to |\btalked to |\bcustomer: |担当は ?|(?:signed-off|co-authored|reviewed|acked|tested)-by: "
-    rf"|\b(?:kontakt|contact|ansprechpartner): |--(?:owner|author)[ =][\"']?|\b(?:dr|prof|mr|mrs|ms|herrn?|frau|mme|mlle)\.? )\n?{_LETTER}"
-    rf"|{_LETTER}(?:{_RIGHT})|[{HAN}]\""
-    rf"|(?:\bvon |\bby |\bfrom |\bwith |echo [\"'])\n?{_LETTER}(?:{_LETTER}|['’\-])*(?:,? |\. )(?:{_LETTER}\. )?{_LETTER}(?:{_LETTER}|['’\-])*[;\"]", re.I)
+    rf"|\b(?:kontakt|contact|ansprechpartner): |--(?:owner|author)[ =][\"']?|\b(?:dr|prof|mr|mrs|ms|herrn?|frau|mme|mlle)\.? )\n?{_LETTER}", re.I)
+FOLLOWED = re.compile(rf"{_LETTER}(?:{_RIGHT})", re.I)
+QUOTED_HAN = re.compile(rf"[{HAN}]\"")
+WEAK = re.compile(rf"(?:\bvon |\bby |\bfrom |\bwith |echo [\"'])\n?{_LETTER}(?:{_LETTER}|['’\-])*(?:,? |\. )(?:{_LETTER}\. )?{_LETTER}(?:{_LETTER}|['’\-])*[;\"]", re.I)
 #: The ways of SPOKEN_LEFT ahead of a letter that is no small one.
 SPOKEN_TO = re.compile(rf"(?i:{SPOKEN})\n?(?![a-z]){_LETTER}")
-#: Words in lower case, one of which stands wherever CONTEXT, SPOKEN_TO and SAID_RIGHT match.
+#: For each of these the words, in lower case, one of which stands wherever it matches, and whether they begin as words do.
 CUES = (
-    ("name", "for user ", "belongs to ", "talked to ", "customer: ", "担当は", "-by: ", "kontakt: ", "contact: ", "ansprechpartner: ", "--owner", "--author",
-     *(f"{t}{dot} " for t in ("dr", "prof", "mr", "mrs", "ms", "herr", "herrn", "frau", "mme", "mlle") for dot in ("", ".")),
-     "s machine", " id_no", " street=", "さん", " <", ", reachable", " asked for this", " darf nicht", '"', "von ", "by ", "from ", "with ", "echo '"),
-    (*(f"{w}: " for w in ("client", "patient", "ansprechpartnerin", "attn", "assignee", "owner", "author", "reporter", "requester", "recipient", "sender", "employee", "mitarbeiter", "mitarbeiterin", "kunde", "kundin", "responsable", "auteur", "cliente")), "-by: ",
+    (("name", "担当は", "-by: ", "--owner", "--author"), False),
+    (("for user ", "belongs to ", "talked to ", "customer: ", "kontakt: ", "contact: ", "ansprechpartner: ", *(f"{t}{dot} " for t in ("dr", "prof", "mr", "mrs", "ms", "herr", "herrn", "frau", "mme", "mlle") for dot in ("", "."))), True),
+    (("s machine", " id_no", " street=", "さん", " <", ", reachable", " asked for this", " darf nicht"), False),
+    (('"',), False),
+    (("von ", "by ", "from ", "with "), True),
+    (("echo '", 'echo "'), False),
+    (("-by: ",), False),
+    ((*(f"{w}: " for w in ("client", "patient", "ansprechpartnerin", "attn", "assignee", "owner", "author", "reporter", "requester", "recipient", "sender", "employee", "mitarbeiter", "mitarbeiterin", "kunde", "kundin", "responsable", "auteur", "cliente")), "-by: ",
      "colleague", "coworker", "co-worker", "manager", "boss", "friend", "neighbo", "teammate", "client", "customer", "patient", "sister", "brother", "wife", "husband", "mother", "father", "doctor", "lawyer", "landlord", "tenant", "intern ", "intern,", "intern called",
      "intern named", "assistant", "kolleg", "chef", "freund", "kund", "nachbar", "schwester", "bruder", " frau ", " mann ", "ärztin", "arzt", "collègue", "ami ", "amie ", "voisin", "patron", "sœur", "frère", "femme", "mari ", "médecin",
      "dear", "hello", "hi ", "hi,", "hey", "hallo", "liebe", "guten tag", "bonjour", "bonsoir", "cher ", "cher,", "chère", "thank", "danke", "merci", "regards", "cheers", "sincerely", "grüße", "cordialement",
@@ -401,10 +406,12 @@ CUES = (
      "assigned to ", "reports to ", "escalated to ", "handed over to ", "addressed to ", "introduced to ", "on behalf of ", "my name is ", "ich heiße ", "je m'appelle ", "namens ", "nommé",
      *(f"{v} {w} " for v in ("written", "reported", "owned", "approved", "reviewed", "managed", "signed", "requested", "filed", "hired", "taught") for w in ("by", "with")),
      "ask ", "asked ", "told ", "tell ", "emailed ", "phoned ", "invite", "pinged ", "contacted ", "remind ", "notified ", "met ", *(f"{v} mit " for v in ("sprach", "spreche", "gesprochen", "telefoniert", "treffen")), "frag ", "frage ", "fragt ", "ruf ", "rufe ",
-     "informier", "traf ", *(f"{v} {w} " for v in ("parlé", "parler", "discuté", "rendez-vous") for w in ("à", "avec")), "joindre ", "contacter ", "appeler ", "rencontrer ", "rencontré ", "demandez à ", "prévenir "),
-    (*(f"s {w}" for w in ("laptop", "desk", "phone", "account", "badge", "inbox", "calendar", "office", "house", "birthday", "manager", "email", "e-mail", "passport")), "様", "氏", "先生",
+     "informier", "traf ", *(f"{v} {w} " for v in ("parlé", "parler", "discuté", "rendez-vous") for w in ("à", "avec")), "joindre ", "contacter ", "appeler ", "rencontrer ", "rencontré ", "demandez à ", "prévenir "), True),
+    ((*(f"s {w}" for w in ("laptop", "desk", "phone", "account", "badge", "inbox", "calendar", "office", "house", "birthday", "manager", "email", "e-mail", "passport")), "様", "氏", "先生",
      *(f" {w}" for w in ("said", "says", "asked", "wrote", "told", "replied", "promised", "agreed", "mentioned", "complained", "apologi", "joined us", "called me", "emailed", "lives in", "lives at", "works at", "works for", "sagt", "schrieb", "meinte", "fragte", "wohnt",
-                         "arbeitet", "bittet", "a dit", "a écrit", "a demandé", "a appelé", "habite", "travaille"))))
+                         "arbeitet", "bittet", "a dit", "a écrit", "a demandé", "a appelé", "habite", "travaille"))), False))
+#: The expression that each group of cues calls for.
+CONTEXTS = (LABELLED, LABELLED, FOLLOWED, QUOTED_HAN, WEAK, WEAK, SPOKEN_TO, SPOKEN_TO, SAID_RIGHT)
 #: Letters that equal i and s when case is ignored, but not in lower case.
 _AS_ASCII = str.maketrans("İıſ", "iis")
 
@@ -416,15 +423,18 @@ def trigger(lex: Lexicon):
     known, cues = ahocorasick.Automaton(), ahocorasick.Automaton()
     for w in (*lex.given, *lex.family, "\0\0"):
         known.add_word(w, 1)
-    kinds: dict[str, int] = {}
-    for k, words in enumerate(CUES):
+    kinds: dict[str, tuple[int, int]] = {}  # groups in which the cue counts anywhere, and as the beginning of a word
+    for k, (words, bounded) in enumerate(CUES):
         for w in words:
-            kinds[w] = kinds.get(w, 0) | 1 << k
-    for w, mask in kinds.items():
-        cues.add_word(w, mask)
+            loose, bound = kinds.get(w, (0, 0))
+            kinds[w] = (loose, bound | 1 << k) if bounded and w[0].isalnum() else (loose | 1 << k, bound)
+    for w, (loose, bound) in kinds.items():
+        cues.add_word(w, (loose, bound, len(w)))
     known.make_automaton()
     cues.make_automaton()
-    contexts = (CONTEXT.search, SPOKEN_TO.search, SAID_RIGHT.search)
+    searches = {}  # distinct expressions with the groups that call for them
+    for k, rx in enumerate(CONTEXTS):
+        searches[rx.search] = searches.get(rx.search, 0) | 1 << k
 
     def test(t: str) -> bool:
         if "@" in t or SHAPES.search(t) or SPELT_AT.search(t):
@@ -432,10 +442,14 @@ def trigger(lex: Lexicon):
         low = t.lower()
         if next(known.iter(low), None) is not None:
             return True
+        if not t.isascii():
+            low = t.translate(_AS_ASCII).lower()
         mask = 0
-        for _, m in cues.iter(low if t.isascii() else t.translate(_AS_ASCII).lower()):
-            mask |= m
-        return bool(mask) and any(mask >> k & 1 and contexts[k](t) is not None for k in range(3))
+        for end, (loose, bound, n) in cues.iter(low):
+            mask |= loose
+            if bound & ~mask and (end < n or not (low[end - n].isalnum() or low[end - n] == "_")):
+                mask |= bound
+        return bool(mask) and any(mask & groups and search(t) is not None for search, groups in searches.items())
 
     return test
 
