@@ -109,6 +109,8 @@ SPOKEN = (
     r"|\b(?:written|reported|owned|approved|reviewed|managed|signed|requested|filed|hired|taught) (?:by|with) "
     r"|\b(?:ask|asked|told|tell|emailed|phoned|invited?|pinged|contacted|remind|notified|met) "
     r"|\b(?:sprach|spreche|gesprochen|telefoniert|treffen) mit |\b(?:frage?|fragt|rufe?|informiere?|traf) "
+    r"|\bcc:? |\baccording to |\bloop(?:ing)? in |\b(?:ping|meeting|interviewed|interviewing|interview|visiting) |\b(?:call|calls|chats|discussion|discussions) with |\b(?:feedback|message|mail|letter|reply|voicemail|news|question) from |\b(?:voicemail|appointment|invoice) for "
+    r"|\b(?:laptop|desk|phone|account|badge|office|address|file) of |\b(?:best|kind|warm) regards,\s|\b(?:nachricht|antwort|brief|frage) von |\bwarte auf |\b(?:discussion|entretien|réunion) avec |\b(?:message|lettre|réponse) de |\b(?:madame|monsieur|señora?|signora?|sra?\.) "
     r"|\b(?:parlé|parler|discuté|rendez-vous) (?:à|avec) |\b(?:joindre|contacter|appeler|rencontrer|rencontré|demandez à|prévenir) ")
 SPOKEN_LEFT = re.compile(rf"(?:{SPOKEN})$", re.I)
 WEAK_LEFT = re.compile(r"(?:\bvon |\bby |\bfrom |\bwith |echo [\"'])$", re.I)
@@ -117,8 +119,9 @@ TITLE_LEFT = re.compile(rf"{_TITLE}$", re.I)
 _RIGHT = r"['’]s machine| id_no| street=| ?さん| <|, reachable| asked for this| darf nicht"
 RIGHT = re.compile(_RIGHT + r"|;|\"")
 #: What people do and own; it follows only words that are written like names.
-SAID = (r"['’]s (?:laptop|desk|phone|account|badge|inbox|calendar|office|house|birthday|manager|e-?mail|passport)\b"
+SAID = (r"['’]s (?:laptop|desk|phone|account|badge|inbox|calendar|office|house|birthday|manager|e-?mail|passport|report|review|comment|shift)\b"
         r"| (?:said|says|asked|wrote|told|replied|promised|agreed|mentioned|complained|apologi[sz]ed|joined us|called me|emailed|lives (?:in|at)|works (?:at|for))\b"
+        r"| (?:(?:is|was|will be) (?:out|away|back|on leave|on holiday|on vacation|on call|sick|absent|late|ill)|will (?:join|call|attend|reply|review)|approved|signed|resigned|retired|phoned|attended|objected|and I|needs access|has the)\b"
         r"| (?:sagte?|schrieb|meinte|fragte|wohnt|arbeitet|bittet)\b| (?:a (?:dit|écrit|demandé|appelé)|habite|travaille)\b| ?(?:様|氏|先生)")
 SAID_RIGHT = re.compile(SAID)
 TITLES = frozenset("dr prof mr mrs ms herr herrn frau mme mlle sir madam".split())
@@ -406,9 +409,13 @@ CUES = (
      "assigned to ", "reports to ", "escalated to ", "handed over to ", "addressed to ", "introduced to ", "on behalf of ", "my name is ", "ich heiße ", "je m'appelle ", "namens ", "nommé",
      *(f"{v} {w} " for v in ("written", "reported", "owned", "approved", "reviewed", "managed", "signed", "requested", "filed", "hired", "taught") for w in ("by", "with")),
      "ask ", "asked ", "told ", "tell ", "emailed ", "phoned ", "invite", "pinged ", "contacted ", "remind ", "notified ", "met ", *(f"{v} mit " for v in ("sprach", "spreche", "gesprochen", "telefoniert", "treffen")), "frag ", "frage ", "fragt ", "ruf ", "rufe ",
-     "informier", "traf ", *(f"{v} {w} " for v in ("parlé", "parler", "discuté", "rendez-vous") for w in ("à", "avec")), "joindre ", "contacter ", "appeler ", "rencontrer ", "rencontré ", "demandez à ", "prévenir "), True),
-    ((*(f"s {w}" for w in ("laptop", "desk", "phone", "account", "badge", "inbox", "calendar", "office", "house", "birthday", "manager", "email", "e-mail", "passport")), "様", "氏", "先生",
-     *(f" {w}" for w in ("said", "says", "asked", "wrote", "told", "replied", "promised", "agreed", "mentioned", "complained", "apologi", "joined us", "called me", "emailed", "lives in", "lives at", "works at", "works for", "sagt", "schrieb", "meinte", "fragte", "wohnt",
+     "informier", "traf ", *(f"{v} {w} " for v in ("parlé", "parler", "discuté", "rendez-vous") for w in ("à", "avec")), "joindre ", "contacter ", "appeler ", "rencontrer ", "rencontré ", "demandez à ", "prévenir ",
+      "cc ", "cc: ", "according to ", "loop in ", "looping in ", "ping ", "meeting ", "interviewed ", "interviewing ", "interview ", "visiting ", *(f"{w} with " for w in ("call", "calls", "chats", "discussion", "discussions")),
+      *(f"{w} from " for w in ("feedback", "message", "mail", "letter", "reply", "voicemail", "news", "question")), "voicemail for ", "appointment for ", "invoice for ", *(f"{w} of " for w in ("laptop", "desk", "phone", "account", "badge", "office", "address", "file")),
+      *(f"{w} von " for w in ("nachricht", "antwort", "brief", "frage")), "warte auf ", *(f"{w} avec " for w in ("discussion", "entretien", "réunion")), *(f"{w} de " for w in ("message", "lettre", "réponse")), "madame ", "monsieur ", "señor ", "señora ", "signor ", "signora ", "s. ", "sr. ", "sra. "), True),
+    ((*(f"s {w}" for w in ("laptop", "desk", "phone", "account", "badge", "inbox", "calendar", "office", "house", "birthday", "manager", "email", "e-mail", "passport", "report", "review", "comment", "shift")), "様", "氏", "先生",
+     *(f" {w}" for w in ("said", "says", "asked", "wrote", "told", "replied", "promised", "agreed", "mentioned", "complained", "apologi", "joined us", "called me", "emailed", "lives in", "lives at", "works at", "works for", *(f"{v} {w}" for v in ("is", "was", "will be") for w in ("out", "away", "back", "on leave", "on holiday", "on vacation", "on call", "sick", "absent", "late", "ill")),
+                         "will join", "will call", "will attend", "will reply", "will review", "approved", "signed", "resigned", "retired", "phoned", "attended", "objected", "and i", "needs access", "has the", "sagt", "schrieb", "meinte", "fragte", "wohnt",
                          "arbeitet", "bittet", "a dit", "a écrit", "a demandé", "a appelé", "habite", "travaille"))), False))
 #: The expression that each group of cues calls for.
 CONTEXTS = (LABELLED, LABELLED, FOLLOWED, QUOTED_HAN, WEAK, WEAK, SPOKEN_TO, SPOKEN_TO, SAID_RIGHT)
