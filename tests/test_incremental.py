@@ -78,10 +78,9 @@ def test_run_survives_failures_without_skip_or_repeat(spark, tmp_path):
     assert sync.batch(sync.run(grown)).count() == 0
 
 
-@pytest.mark.parametrize("new_ids", [False, True])
-@pytest.mark.parametrize("stop", ["plan", "sink"])
-@pytest.mark.parametrize("after", [["NEW0", "NEW1", "NEW2"], ["x0"], ["x0", "x1", "x2", "x3"], []])
-def test_log_changed_between_failure_and_replay(spark, tmp_path, new_ids, stop, after):
+@pytest.mark.parametrize("after,stop,new_ids", [
+    (["NEW0", "NEW1", "NEW2"], "plan", False), (["NEW0", "NEW1", "NEW2"], "sink", True), (["x0"], "plan", True), (["x0"], "sink", False), (["x0", "x1", "x2", "x3"], "sink", True), ([], "plan", False)])
+def test_log_changed_between_failure_and_replay(spark, tmp_path, after, stop, new_ids):
     """The replay brings what was planned; the run after it sees the change, whatever it is."""
     sync = I.IncrementalSync(spark, f"file://{tmp_path}/state")
     sync.run(spark.createDataFrame(log("a", ["x0"], 0) + log("b", ["k"], 90), LINES))
@@ -109,7 +108,7 @@ def test_any_change_between_any_two_steps(spark, tmp_path):
         return rows
 
     sync = I.IncrementalSync(spark, f"file://{tmp_path}/state")
-    for step in range(9):
+    for step in range(7):
         for name in logs:
             move = rng.choice(["none", "append", "append", "rewrite", "cut"])
             if move == "append":
