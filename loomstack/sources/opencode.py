@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import sqlite3
+from collections.abc import Iterator
+from contextlib import closing
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,15 +28,29 @@ def open_store(path: str) -> sqlite3.Connection:
     return db
 
 
+#: Rows that one task reads of a table.
+RANGE = 200_000
+
+
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The three tables as DataFrames."""
-    db = open_store(path)
+    """The three tables as DataFrames; ranges of rows are read by the executors, which see the file where the driver does."""
     out = {}
     for name, columns in REQUIRED.items():
         cols = sorted(columns)
-        kinds = ", ".join(f"{c} {'long' if c.startswith('time_') else 'string'}" for c in cols)
-        out[name] = spark.createDataFrame(db.execute(f"select {', '.join(cols)} from {name}").fetchall(), kinds)
-    db.close()
+        with closing(open_store(path)) as db:
+            low, high = db.execute(f"select coalesce(min(rowid), 0), coalesce(max(rowid), -1) from {name}").fetchone()
+        starts = spark.range(low, high + 1, RANGE, numPartitions=max(1, -(-(high + 1 - low) // RANGE)))
+        kinds = [pa.int64() if c.startswith("time_") else pa.string() for c in cols]
+
+        def scan(batches: Iterator[pa.RecordBatch], name=name, cols=cols, kinds=kinds) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in batch.column("id").to_pylist():
+                    with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
+                        rows = db.execute(f"select {', '.join(cols)} from {name} where rowid >= ? and rowid < ?", (start, start + RANGE))
+                        while part := rows.fetchmany(10_000):
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), kinds)], cols)
+
+        out[name] = starts.mapInArrow(scan, ", ".join(f"{c} {'long' if c.startswith('time_') else 'string'}" for c in cols))
     return out
 
 
@@ -78,3 +95,31 @@ def content_version(t: dict[str, DataFrame]) -> DataFrame:
     """(session_id, hash): changes with any part of a session; a changed hash rebuilds the session."""
     p = parts(t).withColumn("h", F.sha2(F.concat_ws("\0", "part_id", "role", "data"), 256))
     return p.groupBy("session_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("record_ordinal", "h"))), lambda x: x["h"]), ""), 256).alias("hash"))
+
+
+_RECORDS = "session_id string, record_ordinal long, part_ordinal long, part_id string, message_id string, time_created long, role string, kind string, tool_name string, call_id string, exit_code int, text string, command string, diff string, paths array<string>"
+
+
+def records(t: dict[str, DataFrame]) -> DataFrame:
+    """Records of all parts in order; parts that are no JSON or of no known kind give none."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in _RECORDS.split(", ")]
+        kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+        schema = pa.schema([(n, kinds[c.split()[1]]) for n, c in zip(names, _RECORDS.split(", "))])
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                try:
+                    found = decode_part(r["role"], r["data"])
+                except (ValueError, TypeError):
+                    continue
+                rows += [dict.fromkeys(names, "") | {"exit_code": None, "paths": []} | {k: r[k] for k in names[:2] + names[3:6]} | {"part_ordinal": k} | x for k, x in enumerate(found)]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return parts(t).mapInArrow(scan, _RECORDS)
+
+
+def changed(versions: DataFrame, stored: DataFrame) -> DataFrame:
+    """Sources whose version is not the stored one, or that are new: (logical_id, external_version) against the same of the store."""
+    known = stored.select("logical_id", F.col("external_version").alias("_was"))
+    return versions.join(known, "logical_id", "left").where(~F.col("external_version").eqNullSafe(F.col("_was"))).drop("_was")

@@ -83,12 +83,20 @@ def test_opencode(spark, tmp_path):
     db.execute("insert into message values ('m', 's', 1, 7, ?)", (json.dumps({"role": "user"}),))
     db.execute("insert into part values ('q', 'm', 's', 1, 5, ?)", (json.dumps({"type": "text", "text": "hi"}),))
     db.commit()
+    opencode.RANGE = 2
     t = opencode.load(spark, str(tmp_path / "o.db"))
     assert opencode.sources(t).first().external_version == "7"
     p = opencode.parts(t).first()
     assert opencode.decode_part(p.role, p.data) == [{"role": "user", "kind": "message", "text": "hi"}] and opencode.content_version(t).count() == 1
     tool = opencode.decode_part("assistant", json.dumps({"type": "tool", "tool": "bash", "callID": "c", "state": {"status": "error", "error": "no", "input": {"command": "ls"}}}))
     assert [r["kind"] for r in tool] == ["tool", "command_output"] and tool[1]["exit_code"] == 1
+    for k, data in enumerate(("no json", '{"type": "other"}', json.dumps({"type": "tool", "tool": "bash", "callID": "c", "state": {"status": "completed", "output": "exit code 3", "input": {"command": "ls"}}}), '{"type": "patch", "files": ["b", "a"], "hash": "h"}')):
+        db.execute("insert into part values (?, 'm', 's', ?, 5, ?)", (f"x{k}", 2 + k, data))
+    db.commit()
+    r = opencode.records(opencode.load(spark, str(tmp_path / "o.db"))).orderBy("record_ordinal", "part_ordinal").collect()
+    assert [(x.record_ordinal, x.part_ordinal, x.kind, x.command, x.exit_code, x.paths) for x in r] == [(1, 0, "message", "", None, []), (4, 0, "tool", "ls", None, []), (4, 1, "command_output", "", 3, []), (5, 0, "file_operation", "", None, ["a", "b"])]
+    v = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "logical_id string, external_version string")
+    assert {x.logical_id for x in opencode.changed(v, v.where("logical_id = 'a'").unionByName(spark.createDataFrame([("b", "1")], v.schema))).collect()} == {"b", "c"}
     db.execute("drop table part")
     db.commit()
     with pytest.raises(ValueError):
