@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,9 +107,14 @@ class CodeIndex:
         out.write(bytearray(json.dumps(meta, sort_keys=True).encode()))
         out.close()
 
-    def _segments(self, files: DataFrame) -> list[int]:
+    @staticmethod
+    def _segments_of(files: DataFrame) -> list[int]:
         return sorted(r["segment"] for r in files.select("segment").distinct().collect())  # at most MAX_SEGMENTS and one
 
+    def segments(self) -> list[int]:
+        """Segments that hold live files."""
+        return self.meta()["segments"] if self.version() else []
+
     def _table(self, name: str, segments: list[int]) -> DataFrame:
         parts = [self.spark.read.schema(TABLES[name]).parquet(self._path("segments", s, name)) for s in segments]
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], TABLES[name])
@@ -124,16 +131,19 @@ class CodeIndex:
         cut = bm25.chunk_index(cut)
         found = found.withColumns({"name_terms": T.text_terms(F.col("name")), "path_terms": T.terms(T.path_terms(F.col("path"))), "signature_terms": T.text_terms(F.col("raw_signature"))})
         sizes = files.select("path", "file_no", "mtime", "size", "content_hash", F.lit(segment).alias("segment"))
-        for kind, rows in (("chunk", cut), ("symbol", found)):
+
+        def write(kind: str, rows: DataFrame) -> DataFrame:
             fields = list(KINDS[kind])
-            length = reduce(lambda a, b: a + b, [F.size(f) for f in fields])
-            rows = written(rows.withColumn("len", length), f"{kind}s")
+            rows = written(rows.withColumn("len", reduce(lambda a, b: a + b, [F.size(f) for f in fields])), f"{kind}s")
             rows.drop(*fields).write.mode("overwrite").parquet(self._path("segments", segment, f"{kind}s"))
             each = [rows.select("file_no", "ord", "len", F.lit(f).alias("field"), F.posexplode(f).alias("pos", "term")) for f in fields]
             postings = reduce(DataFrame.unionByName, each).groupBy("term", "file_no", "ord", "field", "len").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
             postings.withColumn("bucket", self._bucket("term")).repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(self._path("segments", segment, f"{kind}_postings"))
-            per = rows.groupBy("file_no").agg(F.count("*").alias(f"{kind}s"), F.sum("len").alias(f"{kind}_terms"))
-            sizes = sizes.join(per, "file_no", "left")
+            return rows.groupBy("file_no").agg(F.count("*").alias(f"{kind}s"), F.sum("len").alias(f"{kind}_terms"))
+
+        with ThreadPoolExecutor(2) as both:  # the two kinds need each other as little as their jobs do
+            for per in [x.result() for x in [both.submit(write, "chunk", cut), both.submit(write, "symbol", found)]]:
+                sizes = sizes.join(per, "file_no", "left")
         zero = F.lit(0).cast("long")
         return written(sizes.withColumns({c: F.coalesce(F.col(c).cast("long"), zero) for k in KINDS for c in (f"{k}s", f"{k}_terms")}), "manifest")
 
@@ -158,11 +168,12 @@ class CodeIndex:
         kept = written(kept, "manifest")
         total = kept.agg(F.count("*").alias("files"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for k in KINDS for c in (f"{k}s", f"{k}_terms")]).first().asDict()
         stats = {k: count.get(k, 0) for k in ("added", "updated", "removed", "unchanged")} | {"files": total["files"], "chunks": total["chunks"], "symbols": total["symbols"], "full_rebuild": full, "languages": sorted(languages)}
-        segments = self._segments(kept)
+        segments = self._segments_of(kept)
         if len(segments) > MAX_SEGMENTS:
             kept = self._compacted(kept, segments, number + 1)
             number += 1
-        self._commit(number, kept, {**marks, **total, **(facts or {}), "languages": sorted(languages), "buckets": self.buckets})
+            segments = [number]
+        self._commit(number, kept, {**marks, **total, **(facts or {}), "languages": sorted(languages), "buckets": self.buckets, "segments": segments})
         return stats
 
     def _compacted(self, files: DataFrame, segments: list[int], segment: int) -> DataFrame:
@@ -179,14 +190,14 @@ class CodeIndex:
         """Postings of the given terms in live files; only the buckets of the terms are listed and read."""
         files = self.files()
         wanted = sorted(set(terms))
-        buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in wanted], "term string").select(self._bucket("term").alias("b")).distinct().collect()] if wanted else []
-        rows = self._table(f"{kind}_postings", self._segments(files))
+        buckets = sorted({_hash(t) % self.buckets for t in wanted})
+        rows = self._table(f"{kind}_postings", self.segments())
         return rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(wanted)).join(files.select("file_no"), "file_no", "left_semi")
 
     def vocabulary(self, kind: str = "chunk", field: str = "body_terms") -> DataFrame:
         """(term, documents, occurrences) of one field over the live files: the statistics that ranking rests on."""
         files = self.files()
-        live = self._table(f"{kind}_postings", self._segments(files)).where(F.col("field") == field).join(files.select("file_no"), "file_no", "left_semi")
+        live = self._table(f"{kind}_postings", self.segments()).where(F.col("field") == field).join(files.select("file_no"), "file_no", "left_semi")
         return live.groupBy("term").agg(F.count("*").alias("documents"), F.sum(F.size("positions")).alias("occurrences"))
 
     def frequencies(self, kind: str, phrases: list[list[str]]) -> DataFrame:
@@ -217,7 +228,7 @@ class CodeIndex:
         return bm25.with_score(rows, len(phrases), mode).select("file_no", "ord", "score")
 
     def _hits(self, kind: str, hits: DataFrame, snippet: str) -> DataFrame:
-        docs = self._table(f"{kind}s", self._segments(self.files()))
+        docs = self._table(f"{kind}s", self.segments())
         j = hits.join(docs, ["file_no", "ord"])
         return j.select("path", "start_line", "end_line", "score", F.col(snippet).alias("snippet"), *(["name"] if kind == "symbol" else []))
 
@@ -250,6 +261,12 @@ class CodeIndex:
             raise RuntimeError(f"the index is of {known[:12]}, the project at {commit[:12]}: build it again")
 
 
+def _hash(term: str) -> int:
+    """The engine's xxhash64 of a string, without asking it."""
+    h = xxhash.xxh64(term.encode(), seed=42).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _followed(positions, distance: int):
     """Does a term stand ``distance`` behind a position?"""
     return lambda i: F.array_contains(positions, i + distance)

@@ -66,7 +66,7 @@ def test_refresh_equals_a_rebuild(spark, tmp_path, monkeypatch):
         assert [s[k] for k in ("files", "chunks", "symbols")] == [t[k] for k in ("files", "chunks", "symbols")]
         for q in ("SessionStore", "event budget"):
             assert at.search(q, 20).collect() == new.search(q, 20).collect()
-    assert len(at._segments(at.files())) <= 2
+    assert len(at.segments()) <= 2
     assert at.build(table(spark, now), languages=frozenset(["go"]))["full_rebuild"] and at.build(table(spark, {}))["files"] == 0 and at.search("event").count() == 0
 
 
